@@ -4,7 +4,8 @@ A row's set of word runs is a sparse bit vector over all runs. Two rows within t
 |A \\ B| <= |A| - t|A|, agree on at least one of the first |A| - ceil(t|A|) + 1 set bits of either, in any fixed order
 of the bits (pigeonhole). Each row is therefore filed under one mask per such bit: every pair within the radius
 collides in some table, none is lost by chance. The order puts bits of rare words first, so that tables stay small;
-which words are frequent is counted over all rows. The textbook family of 2^(r+1) - 1 dense masks needs
+which words are frequent is counted over all rows. All collisions of a pair together bound what it can share, which
+discards nearly every accidental pair before a text is fetched. The textbook family of 2^(r+1) - 1 dense masks needs
 r of about 70 here and cannot be built; see the README.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,27 +28,24 @@ from factloom.session import cut
 #: A table with more rows than this is not paired off but resolved by pivots.
 HOT_TABLE = 96
 #: A word in this share of the rows is frequent; there are at most (words per row) / FREQUENT such words.
-FREQUENT = 0.002
+FREQUENT = 0.0005
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
-    rows = 0
 
     def flush() -> pa.RecordBatch:
         known = WordHashes()
         keys = np.fromiter((known[w] for w in seen), np.uint64, len(seen)).view(np.int64)
-        out = [pa.array(np.append(keys, 0)), pa.array([*seen.values(), rows], pa.int64()), pa.array([False] * len(seen) + [True])]
-        return pa.RecordBatch.from_arrays(out, names=["word", "n", "total"])
+        out = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*seen.values()], pa.int64())], names=["word", "n"])
+        seen.clear()
+        return out
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             seen.update(set(words(text)))
-            rows += 1
         if len(seen) > 400_000:
             yield flush()
-            seen.clear()
-            rows = 0
     yield flush()
 
 
@@ -56,131 +55,180 @@ def frequent_words(texts: DataFrame, share: float = FREQUENT) -> tuple[np.ndarra
     texts has one text column. All rows are counted, combined per task before the shuffle. What comes to the driver
     is bounded by (mean words per row) / share, whatever the number of rows.
     """
-    counted = texts.mapInArrow(_count_words, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
-    rows = counted.where("total").agg(F.sum("n")).first()[0] or 0
+    counted = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = texts.count()
     least = max(2, math.ceil(share * rows))
-    top = counted.where(F.col("n") >= least).where("not total").select("word", "n").toPandas()
+    top = counted.where(F.col("n") >= least).toPandas()
     keys = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     levels = 1 + np.floor(np.log2(top["n"].to_numpy() / least)).astype(np.int64)
     return keys[order], levels[order]
 
 
-def _masks(k: int, similarity: float, shared: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row: id, 128-bit key of the set, size of the set, mask keys (the covering bits in the common order)."""
+class _Sets:
+    """The sets of a batch: distinct run hashes of each row in the common order, rare ones first."""
+
+    def __init__(self, texts: list[str], k: int, known: WordHashes, common: tuple[np.ndarray, np.ndarray]) -> None:
+        lists = [words(t) for t in texts]
+        n_rows = len(lists)
+        flat, starts = hashed(lists, known)
+        frequent, level = common
+        at = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
+        levels = np.where(frequent[at] == flat, level[at], 0) if len(frequent) else np.zeros(len(flat), np.int64)
+        runs, owner = run_hashes(flat, starts, k)
+        rank = np.zeros(0, np.int64)
+        if (n := len(flat) - k + 1) > 0:
+            parts = [levels[i : i + n] for i in range(k)]
+            row_of = np.repeat(np.arange(n_rows), np.diff(starts))
+            rank = (np.minimum.reduce(parts) * 1024 + sum(parts))[row_of[:n] == row_of[k - 1 :]]
+        order = np.lexsort((runs, rank, owner))
+        runs, owner = runs[order], owner[order]
+        if len(runs):
+            first = np.r_[True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]
+            runs, owner = runs[first], owner[first]
+        self.runs, self.owner = runs, owner
+        self.size = np.bincount(owner, minlength=n_rows)
+        begin = np.r_[0, np.cumsum(self.size)]
+        self.position = np.arange(len(runs)) - begin[owner]
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum(runs, dtype=np.uint64)]
+            others = np.r_[np.uint64(0), np.cumsum(mix(runs ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
+            self.hi, self.lo = sums[begin[1:]] - sums[begin[:-1]], others[begin[1:]] - others[begin[:-1]]
+        for i in np.flatnonzero(self.size == 0):  # too short for a run: its words stand for the set
+            h = known[" ".join(lists[i])]
+            self.hi[i], self.lo[i] = h, ~np.uint64(h)
+
+
+def _masks(k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(mask, row, info): the masks of each row, info = size << 32 | position in the common order.
+
+    Further rows have a negative info: the row's set as a mask of its own, info its 128-bit check. A set seen before in
+    the same task is not filed again; such a row is sent as a link to the first one, so that a set of a third of all
+    rows costs little more than one row a task.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        frequent, level = shared
+        known, seen = WordHashes(), {}
         for batch in batches:
-            lists = [words(t) for t in batch.column(1).to_pylist()]
-            n_rows = len(lists)
-            flat, starts = hashed(lists, known)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-                word_level = np.where(frequent[at] == flat, level[at], 0)
-            else:
-                word_level = np.zeros(len(flat), np.int64)
-            runs, owner = run_hashes(flat, starts, k)
-            n = len(flat) - k + 1
-            rank = np.zeros(0, np.int64)
-            if n > 0:
-                rank = word_level[:n].copy()
-                for i in range(1, k):
-                    rank = np.minimum(rank, word_level[i : i + n])
-                row_of = np.repeat(np.arange(n_rows), np.diff(starts))
-                rank = rank[row_of[:n] == row_of[k - 1 :]]
-            order = np.lexsort((runs, rank, owner))
-            runs, owner = runs[order], owner[order]
-            if len(runs):
-                first = np.r_[True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]
-                runs, owner = runs[first], owner[first]
-            size = np.bincount(owner, minlength=n_rows)
-            begin = np.r_[0, np.cumsum(size)]
+            row = batch.column(0).to_numpy()
+            sets = _Sets(batch.column(1).to_pylist(), k, known, common)
+            if len(seen) > 500_000:
+                seen.clear()
+            first = np.array([seen.setdefault(key, r) for key, r in zip(zip(sets.hi.tolist(), sets.lo.tolist()), row.tolist())], np.int64)
+            new = first == row
+            keep = np.where(new & (sets.size > 0), sets.size - np.ceil(similarity * sets.size - 1e-9).astype(np.int64) + 1, 0)
+            mine = sets.position < keep[sets.owner]
+            owner = sets.owner[mine]
             with np.errstate(over="ignore"):
-                sums = np.r_[np.uint64(0), np.cumsum(runs, dtype=np.uint64)]
-                others = np.r_[np.uint64(0), np.cumsum(mix(runs ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
-                hi, lo = sums[begin[1:]] - sums[begin[:-1]], others[begin[1:]] - others[begin[:-1]]
-            for i in np.flatnonzero(size == 0):
-                short = WordHashes()[" ".join(lists[i])]
-                hi[i], lo[i] = short, ~np.uint64(short)
-            keep = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
-            position = np.arange(len(runs)) - begin[owner]
-            masks = runs[position < keep[owner]]
-            offsets = np.r_[0, np.cumsum(keep)].astype(np.int32)
+                whole = mix(sets.hi ^ mix(sets.lo)).view(np.int64)
+            check = -1 - (sets.lo >> np.uint64(2)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(masks.view(np.int64)))],
-                names=["row", "hi", "lo", "size", "masks"],
+                [
+                    pa.array(np.r_[sets.runs[mine].view(np.int64), whole[new], mix(row[~new].astype(np.uint64)).view(np.int64)]),
+                    pa.array(np.r_[row[owner], row[new], row[~new]]),
+                    pa.array(np.r_[sets.size[owner] << 32 | sets.position[mine], check[new], np.zeros((~new).sum(), np.int64)]),
+                    pa.array(np.r_[np.full(len(owner) + new.sum(), -1), first[~new]], mask=np.r_[np.ones(len(owner) + new.sum(), bool), np.zeros((~new).sum(), bool)]),
+                ],
+                names=["mask", "row", "info", "same"],
             )
 
     return make
 
 
+_COLLISION = "a long, b long, mask long, shared int, room int"
+
+
 def _collide(similarity: float, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by mask -> pairs of one table that sizes allow; rows of a hot table pass through as (row, null, mask)."""
+    """Rows sorted by mask -> what collides in a table.
+
+    (a, b, null, shared, room): a pair that sizes allow; shared collisions in this partition, room = the elements that
+    may still be common after the last one. (a, b, null, null, null): equal sets. (row, null, mask, null, null): a row of a table of
+    more than `hot` rows, which is not paired off. Tables may span batches; none is held beyond `hot` rows.
+    """
 
-    def pairs_of(row: np.ndarray, size: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
+    def pairs_of(row: np.ndarray, info: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        found = []
+        size, position = info >> 32, info & 0xFFFFFFFF
         for m in np.unique(length[length > 1]):
             at = begin[length == m][:, None] + np.arange(m)[None, :]
             i, j = np.triu_indices(m, 1)
             x, y = at[:, i].ravel(), at[:, j].ravel()
-            fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
-            x, y = row[x[fits]], row[y[fits]]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-    def out(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> pa.RecordBatch:
-        nulls = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), nulls if mask is not None else pa.array(b), nulls if mask is None else pa.array(mask)], names=["a", "b", "mask"])
+            fits = (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & (row[x] != row[y])
+            x, y = x[fits], y[fits]
+            swap = row[x] > row[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            # all but the shared ones must lie behind the last collision, in both rows
+            need = np.ceil((size[x] + size[y]) * similarity / (1 + similarity) - 1e-9).astype(np.int64)
+            found.append(np.stack([row[x], row[y], need, size[x] - 1 - position[x], size[y] - 1 - position[y]]))
+        return found
+
+    def gathered(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, need, left_a, left_b = np.concatenate(found, 1)
+        order = np.lexsort((b, a))
+        a, b, need, left_a, left_b = (x[order] for x in (a, b, need, left_a, left_b))
+        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        room = np.minimum(np.minimum.reduceat(left_a, at), np.minimum.reduceat(left_b, at)) - need[at]
+        return out(a[at], b[at], None, np.diff(np.r_[at, len(a)]), room)
+
+    def out(a: np.ndarray, b: np.ndarray | None, mask: np.ndarray | None = None, shared: np.ndarray | None = None, room: np.ndarray | None = None) -> pa.RecordBatch:
+        parts = [(a, pa.int64()), (b, pa.int64()), (mask, pa.int64()), (shared, pa.int32()), (room, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), t) if x is None else pa.array(x).cast(t) for x, t in parts], names=["a", "b", "mask", "shared", "room"])
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        rest = [np.zeros(0, np.int64)] * 3
         streaming: int | None = None
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
-        n_seen = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal n_seen
-            if seen:
-                both = np.unique(np.stack([np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])], 1), axis=0)
-                seen.clear()
-                n_seen = 0
-                if len(both):
-                    yield out(both[:, 0].copy(), both[:, 1].copy())
-
-        def work(mask: np.ndarray, row: np.ndarray, size: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest, streaming, n_seen
+        found: list[np.ndarray] = []
+        firsts: tuple[int, dict[int, int]] = (0, {})
+
+        def equal(mask: np.ndarray, row: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+            nonlocal firsts
+            pairs = []
+            for m, r, check in zip(mask.tolist(), row.tolist(), info.tolist()):
+                if firsts[0] != m:
+                    firsts = (m, {})
+                if (first := firsts[1].setdefault(check, r)) != r:
+                    pairs.append((first, r))
+            got = np.array(pairs, np.int64).reshape(-1, 2)
+            return out(got[:, 0], got[:, 1])
+
+        def work(mask: np.ndarray, row: np.ndarray, info: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, streaming
             if not len(mask):
                 return
+            if (whole := info < 0).any():
+                yield equal(mask[whole], row[whole], info[whole])
+                mask, row, info = mask[~whole], row[~whole], info[~whole]
+                if not len(mask):
+                    rest = [mask, row, info]
+                    return
             begin = np.flatnonzero(np.r_[True, mask[1:] != mask[:-1]])
             length = np.diff(np.r_[begin, len(mask)])
             if not last and length[-1] <= hot and mask[-1] != streaming:  # the last table may go on in the next batch
-                rest = [x[begin[-1] :] for x in (mask, row, size)]
+                rest = [x[begin[-1] :] for x in (mask, row, info)]
                 begin, length = begin[:-1], length[:-1]
             else:
-                rest = [x[:0] for x in (mask, row, size)]
+                rest = [x[:0] for x in (mask, row, info)]
             big = (length > hot) | (mask[begin] == streaming if streaming is not None else False)
             for i in np.flatnonzero(big):
                 at = slice(begin[i], begin[i] + length[i])
-                yield out(row[at], row[at], mask[at])
-            if big.any():
-                streaming = int(mask[begin[np.flatnonzero(big)[-1]]])
-            a, b = pairs_of(row, size, begin[~big], length[~big])
-            if len(a):
-                seen.append((a, b))
-                n_seen += len(a)
-            if n_seen > 1_000_000:
-                yield from flush()
+                yield out(row[at], None, mask[at])
+                streaming = int(mask[begin[i]])
+            found.extend(pairs_of(row, info, begin[~big], length[~big]))
+            if sum(x.shape[1] for x in found) > 1_000_000:
+                yield gathered(found)
+                found.clear()
 
         for batch in batches:
+            same = batch.column(3)
+            if same.null_count < len(same):
+                there = pc.is_valid(same)
+                yield out(same.filter(there).to_numpy(), batch.column(1).filter(there).to_numpy())
+                batch = batch.filter(pc.invert(there))
             new = [batch.column(i).to_numpy() for i in range(3)]
             yield from work(*[np.concatenate([r, n]) for r, n in zip(rest, new)], False)
         yield from work(*rest, True)
-        yield from flush()
+        if found:
+            yield gathered(found)
 
     return collide
 
@@ -260,26 +308,36 @@ def _hot_links(members: DataFrame, texts: DataFrame, k: int, similarity: float,
     return links
 
 
-def near_duplicate_groups(df: DataFrame, row_id: str, text: F.Column, k: int = 5, similarity: float = 0.8, hot_table: int = HOT_TABLE, frequent: float = FREQUENT) -> DataFrame:
-    """(row, component, size) of every row with a text: component is the smallest id of its group.
+def near_duplicate_members(df: DataFrame, row_id: str, text: F.Column, k: int = 5, similarity: float = 0.8, hot_table: int = HOT_TABLE, frequent: float = FREQUENT) -> DataFrame:
+    """(row, component) for the rows that have a near duplicate; component is the smallest id of the group.
 
     row_id names a unique bigint column; text is a string expression. Rows with a null text take no part. Rows of
-    equal sets are one class and are compared once. A text of fewer than k words has no runs: it is only grouped with
-    texts of the same words. A row alone in its group has itself as component. Empty input gives an empty result;
-    other columns, whatever their names, are not read.
+    equal sets are linked without being compared. A text of fewer than k words has no runs: it is only linked with
+    texts of the same words. Empty input gives an empty result; other columns, whatever their names, are not read.
     """
     base = df.select(F.col(row_id).cast("long").alias("row"), text.alias("text")).where("text is not null and row is not null")
     common = frequent_words(base.select("text"), frequent)
-    rows = cut(base.mapInArrow(_masks(k, similarity, common), "row long, hi long, lo long, size int, masks array<long>"))
-    classes = rows.groupBy("hi", "lo").agg(F.min(F.struct("row", "size", "masks")).alias("r"), F.count("*").alias("n"))
-    filed = classes.select(F.explode("r.masks").alias("mask"), F.col("r.row").alias("row"), F.col("r.size").alias("size"))
+    filed = base.mapInArrow(_masks(k, similarity, common), "mask long, row long, info long, same long")
     filed = filed.repartition("mask").sortWithinPartitions("mask")
-    collisions = cut(filed.mapInArrow(_collide(similarity, hot_table), "a long, b long, mask long").distinct())
-    links = _similarities(collisions.where("b is not null").select("a", "b"), base, k).where(F.col("j") >= similarity - 1e-12).select("a", "b")
-    hot = collisions.where("mask is not null").select("mask", F.col("a").alias("row"))
-    if not hot.isEmpty():
+    found = filed.mapInArrow(_collide(similarity, hot_table), _COLLISION)
+    found = cut(found.groupBy("a", "b", "mask").agg(F.sum("shared").alias("shared"), F.min("room").alias("room")))
+    sure = found.where("b is not null and shared is null").select("a", "b")
+    pairs = found.where("b is not null and shared is not null")
+    likely = pairs.where("shared + room >= 0").select("a", "b")
+    hot = found.where("mask is not null").select("mask", F.col("a").alias("row"))
+    crowded = not hot.isEmpty()
+    if crowded:  # collisions in hot tables were not counted: the bound does not hold for pairs of their rows
+        rows = hot.select("row").distinct()
+        unsure = pairs.where("shared + room < 0").join(rows.withColumnRenamed("row", "a"), "a", "left_semi").join(rows.withColumnRenamed("row", "b"), "b", "left_semi")
+        likely = likely.union(unsure.select("a", "b"))
+    links = sure.union(_similarities(likely, base, k).where(F.col("j") >= similarity - 1e-12).select("a", "b"))
+    if crowded:
         links = links.union(_hot_links(hot, base, k, similarity))
-    groups = connected_components(links, "a", "b")
-    several = rows.groupBy("hi", "lo").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first")
-    found = rows.select("row", "hi", "lo").join(several, ["hi", "lo"], "left").select("row", F.coalesce("first", "row").alias("first"))
-    return found.join(groups.withColumnRenamed("node", "first"), "first", "left").select("row", F.coalesce("component", "first").alias("component"))
+    return connected_components(links, "a", "b").select(F.col("node").alias("row"), "component")
+
+
+def near_duplicate_groups(df: DataFrame, row_id: str, text: F.Column, **settings: float) -> DataFrame:
+    """(row, component) for every row with a text; a row without near duplicates is its own component."""
+    members = near_duplicate_members(df, row_id, text, **settings)
+    rows = df.where(text.isNotNull()).select(F.col(row_id).cast("long").alias("row")).where("row is not null")
+    return rows.join(members, "row", "left").select("row", F.coalesce("component", "row").alias("component"))

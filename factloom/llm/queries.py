@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.broken_pairs import broken_pairs
@@ -13,7 +13,7 @@ from factloom.llm.copies import collapse_copies, copy_groups
 from factloom.llm.cut_texts import CutTexts
 from factloom.llm.encoding import encode_corpus
 from factloom.llm.leaks import leak_report, leaked_passages
-from factloom.llm.near_duplicates import near_duplicate_groups
+from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_members
 from factloom.llm.target_sample import TargetSample
 
 LABELS = ("factoid_type", "answer_type", "context_support")
@@ -23,18 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "example_asqa").where("context <> ''")
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, Column]:
     text = F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.col("context"))
-    return near_duplicate_groups(df, "row_id", text, k=3, similarity=0.6)
+    return _table(spark, sf_dir, "example_asqa").where("context <> ''"), "row_id", text
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).where("component <> row").select(F.col("component").alias("row_id_a"), F.col("row").alias("row_id_b"))
+    members = near_duplicate_members(*_samples(spark, sf_dir), k=3, similarity=0.6)
+    return members.where("component <> row").select(F.col("component").alias("row_id_a"), F.col("row").alias("row_id_b"))
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).select(F.col("row").alias("row_id"), F.col("component").alias("group_id"))
+    groups = near_duplicate_groups(*_samples(spark, sf_dir), k=3, similarity=0.6)
+    return groups.select(F.col("row").alias("row_id"), F.col("component").alias("group_id"))
 
 
 def _forms(spark: SparkSession, sf_dir: str, changed_only: bool) -> DataFrame:
