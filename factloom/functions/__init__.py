@@ -1,0 +1 @@
+"""Column expressions. All of them stay in the JVM."""

@@ -1,0 +1 @@
+"""Whole experiments and the queries over the test tables."""

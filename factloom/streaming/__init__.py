@@ -1,0 +1 @@
+"""The evaluation kept up to date as logs arrive."""
