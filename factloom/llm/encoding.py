@@ -38,13 +38,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     if len(piece) <= _SHORT:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        get, never = ranks.get, 1 << 60
+        starts = list(range(len(piece) + 1))
+        pairs = [get(piece[i : i + 2], never) for i in range(len(piece) - 1)]  # rank of part i with the next one
+        while pairs and (best := min(pairs)) != never:
+            i = pairs.index(best)
+            del starts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], never)
+            if i < len(pairs):
+                pairs[i] = get(piece[starts[i] : starts[i + 2]], never)
+        return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:])]
     end = list(range(1, len(piece) + 1))  # of the part that starts here; 0 where none does any more
     left = list(range(-1, len(piece) - 1))
     heap: list[tuple[int, int, int]] = []

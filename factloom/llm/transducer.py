@@ -84,7 +84,7 @@ class Transducer:
     """Look-ups in a file made by build(); the file is mapped, not read."""
 
     def __init__(self, path: str) -> None:
-        data = np.memmap(path, np.int64, "r")
+        data = np.asarray(np.memmap(path, np.int64, "r"))  # a view on the mapped file
         if data[0] != _MAGIC:
             raise ValueError(f"{path} holds no transducer")
         self.root, at, parts = int(data[1]), 8, []
