@@ -30,13 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     A folder of our own is made only where the setting is absent (tests, one machine). The result is a URI that
     Hadoop's file systems understand.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="factloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="factloom-shared-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -29,5 +29,6 @@ def resume_into(stream: DataFrame, key: str, target: str, checkpoint: str) -> St
 def windowed_rates(stream: DataFrame, time: str = "run_at", window: str = "1 day", late: str = "7 days") -> DataFrame:
     """Responses, escalations, rescues and harms per window; rows later than `late` are left out of closed windows."""
     one = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c.removeprefix("response_"))
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs a zone; the session's is taken
     sums = stream.withWatermark(time, late).groupBy(F.window(time, window)).agg(F.count("*").alias("responses"), one("response_escalated"), one("response_rescued"), one("response_hurt"))
     return sums.select(F.col("window.start").alias("window_start"), "responses", "escalated", "rescued", "hurt")
