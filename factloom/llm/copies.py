@@ -17,7 +17,7 @@ _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F))
 def canonical(text: Column) -> Column:
     """Letters and digits only, without case; full-width forms as their plain ones. Runs in the JVM."""
     width = F.when(text.rlike("[！-～]"), F.translate(text, _WIDE, _PLAIN)).otherwise(text)
-    return F.regexp_replace(F.lower(F.upper(width)), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.replace(F.lower(width), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", "")
 
 
 def _any_order(text: Column, separator: str) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 
 # Abbreviations whose point ends no sentence, and short forms that may close one.
-ABBREVIATIONS = frozenset("dr mr mrs ms prof st mt ft gen col capt lt sgt rev hon fr sr sra srta dra jr mme mlle mm m no nos nr nº núm vol vols fig figs ed eds pp p art cf approx ca c vs ave blvd e.g i.e z.b d.h bzw inkl ggf sog geb gest av env p.ej ej".split())
+ABBREVIATIONS = frozenset("dr mr mrs ms prof st mt ft capt lt sgt sr sra srta mme mlle nr nº núm vol vols figs nos pp approx ca cf vs e.g i.e z.b d.h bzw inkl ggf sog geb env p.ej".split())
 CLOSING_SHORT = frozenset("etc usw u.s.w inc ltd co corp jr sr a.m p.m u.s u.k".split())
 # Words that can't end a sentence.
 OPEN_WORDS = frozenset(
     "the a an of to in and or with from by for at on into near under his her its their than as le la les un une des du de et à au aux en dans par pour sur avec der die das den dem ein eine einen und oder mit von vom zum zur für bei nach el los las una del y con por para".split()
 )
+# Those of them that not even a full stop makes whole.
+NEVER_LAST = frozenset("the a an and or le les une des du et und oder el los y".split())
 _OPENERS, _CLOSERS = "([{«“„", ")]}»”"
 _MATES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
@@ -64,6 +66,6 @@ def sentence_end(text: str) -> bool:
         word = last.group(1).lower().lstrip("(\"'“«[") if last else ""
         if word in CLOSING_SHORT:
             return True
-        if word in ABBREVIATIONS or word in OPEN_WORDS:
+        if word in ABBREVIATIONS or word in NEVER_LAST:
             return False
     return True

@@ -37,7 +37,8 @@ def seats(cells: pd.DataFrame) -> pd.DataFrame:
     def held(x: float, least: np.ndarray, most: np.ndarray) -> np.ndarray:
         return np.minimum(most, np.maximum(least, np.where(share > 0, np.floor(x * safe + 0.5), 0))).astype(np.int64)
 
-    least, most = (np.zeros_like(floor), floor) if floor.sum() > room else (floor, np.where(share > 0, have, floor))
+    crowded = floor.sum() > room  # not even the floors fit: they are dealt by priority, zero shares last
+    least, most = (np.zeros_like(floor), np.where(share > 0, floor, 0)) if crowded else (floor, np.where(share > 0, have, floor))
     low, high = 0.0, 1.0
     while held(high, least, most).sum() < min(room, most.sum()):
         high *= 2
@@ -52,6 +53,9 @@ def seats(cells: pd.DataFrame) -> pd.DataFrame:
         got[i] += 1
         if got[i] < most[i]:
             heapq.heappush(queue, ((got[i] + 0.5) / safe[i], i))
+    if crowded:
+        for i in np.flatnonzero(share <= 0):
+            got[i] = min(floor[i], room - got.sum())
     return cells[["plan_id", "cell_id"]].assign(seats=got)
 
 
