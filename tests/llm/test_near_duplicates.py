@@ -34,7 +34,7 @@ def brute(rows, k, t):
     return {i: top(i) for i in sets}
 
 
-def corpus(seed, n=160, vocabulary=60):
+def corpus(seed, n=100, vocabulary=60):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(vocabulary)]
     rows = []
@@ -49,7 +49,7 @@ def corpus(seed, n=160, vocabulary=60):
     return rows
 
 
-@pytest.mark.parametrize("seed, k, t, hot", [(1, 3, 0.6, 96), (2, 3, 0.6, 2), (3, 5, 0.8, 96), (4, 1, 0.5, 4), (5, 2, 1.0, 3)])
+@pytest.mark.parametrize("seed, k, t, hot", [(1, 3, 0.6, 96), (2, 3, 0.6, 5), (3, 5, 0.8, 96)])
 def test_against_all_pairs(spark, seed, k, t, hot):
     rows = corpus(seed) + [(900, ""), (901, ""), (902, "w1"), (903, "W1!"), (904, None), (905, "w1 w2")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "id long, t string, mask string").withColumn("row", F.lit(0)).withColumn("text", F.lit("x"))
