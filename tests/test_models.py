@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from factloom.operators.state import append_batch, finished
 from factloom.plans.experiments import Cascade, Settings, single_model, single_verifier, two_verifiers, with_mutations
+from factloom.plans.queries import queries
 from factloom.providers.base import ChatProvider, LexicalProvider, LocalServerProvider, ReplayProvider, ask, replay
 from factloom.providers.steps import decompose, inject, judge, verify
 from factloom.streaming.incremental import read_log, resume_into, windowed_rates
 
+SF = "/root/testdata/sf0.001"
 SAMPLE = "id int, question string, context string, knowledge string, right_answer string, hallucinated_answer string"
 
 
@@ -84,6 +87,20 @@ def test_batch_and_resume(spark):
     assert [r.id for r in out] == [2] and out[0].status in ("Missed Detection", "Valid Escalation")
 
 
+def test_two_verifiers_cover_every_record(spark):
+    records = spark.read.parquet(f"{SF}/example_dataset.parquet").where("factoid is not null")
+    assert sorted(r.id for r in queries()["experiment_two_verifiers"](spark, SF).collect()) == sorted(r.id for r in records.collect())
+
+
+def test_two_verifiers_resume_from_a_written_table(spark, tmp_path):
+    f = "id int, factoid string, context string, factoid_type string, context_support boolean, mutations_list struct<synonyms: array<string>, antonyms: array<string>>"
+    rec = spark.createDataFrame([(i, "The tower is red.", "The tower is red.", "t", True, None) for i in (10, 11, 20)], f)
+    path, small, large = str(tmp_path / "done"), LexicalProvider(name="s"), LexicalProvider(name="l")
+    assert {r.id for r in two_verifiers(rec, small, large, finished(spark, path, "id int")).collect()} == {10, 11, 20}
+    append_batch(two_verifiers(rec.where("id < 20"), small, large), path)
+    assert [r.id for r in two_verifiers(rec, small, large, finished(spark, path, "id int")).collect()] == [20]
+
+
 def test_streams(spark, tmp_path):
     log = spark.read.parquet("/root/testdata/sf0.001/response_log.parquet")
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
