@@ -248,7 +248,7 @@ def strict_trigger_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aligned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _batch(spark, sf_dir, "structure_aware")
-    return reports.aligned([reports.escalation_rate(b.where("escalated"), "category").select("category", F.col("n").alias("escalations")), reports.status_counts(b.where("event_id % 2 = 0"), "category").select("category", "n", "success_pass")], "category")
+    return reports.aligned([reports.escalation_rate(b.where("escalated"), "category").select("category", F.col("n").alias("escalations")), reports.status_counts(b, "category").select("category", "n", "success_pass")], "category")
 
 
 def _verifiers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import dataset, evaluation, reports, responses, state
 from factloom.operators.components import connected_components
+from factloom.plans.queries import queries
 from factloom.sources.records import QA_SAMPLE, Registry, load_json, load_sample, markdown, positions, write_csv
 
 
@@ -61,6 +62,16 @@ def test_reports_leave_null_categories_out(spark):
     assert "| a | 1 |" in markdown(reports.crosstab_wide(df, "category", "failure"))
 
 
+def test_aligned_counts_every_row_of_every_category(spark):
+    a = spark.createDataFrame([("x", 2), ("y", 1)], "category string, escalations long")
+    b = spark.createDataFrame([("y", 5), ("z", 3)], "category string, n long")
+    assert {tuple(r) for r in reports.aligned([a, b], "category").collect()} == {("x", 2, 0), ("y", 1, 5), ("z", 0, 3)}
+    sf = "/root/testdata/sf0.001"
+    stats = {r.category: r for r in queries()["aligned_stats"](spark, sf).collect()}
+    assert {k: (r.n, r.success_pass) for k, r in stats.items()} == {r.category: (r.n, r.success_pass) for r in queries()["status_by_category"](spark, sf).collect()}
+    assert all(r.escalations <= r.n for r in stats.values())
+
+
 def test_state(spark, tmp_path):
     todo = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
     done = spark.createDataFrame([(1,), (1,)], "k int")
