@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from factloom.llm.words import WordHashes, hashed, mix, run_hashes, words
 from factloom.operators.components import connected_components
@@ -264,16 +265,55 @@ def _similarities(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(_verify(k), "a long, b long, j double")
 
 
+def _runs(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row, text -> row, run, size: one row for each distinct run of a text."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            sets = _Sets(batch.column(1).to_pylist(), k, known, none)
+            row = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(row[sets.owner]), pa.array(sets.runs.view(np.int64)), pa.array(sets.size[sets.owner], pa.int64())], names=["row", "run", "size"])
+
+    return make
+
+
+def _refiled(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(mask, row, run, left, size): the rows of each table filed again under the runs that are rare in this table.
+
+    The same pigeonhole as for the masks, in an order of the table's own: what all its rows share comes last. left is
+    how many runs of the row follow. Runs of one row only are counted in the order but not filed.
+    """
+    some = texts.join(members.select("row").distinct(), "row", "left_semi").select("row", "text")
+    runs = cut(members.join(some.mapInArrow(_runs(k), "row long, run long, size long"), "row"))
+    ranked = runs.join(runs.groupBy("mask", "run").agg(F.count("*").alias("n")), ["mask", "run"])
+    ranked = ranked.withColumn("left", F.col("size") - F.row_number().over(W.partitionBy("mask", "row").orderBy("n", "run")))
+    return cut(ranked.where((F.col("n") > 1) & (F.col("left") + 1 >= F.ceil(similarity * F.col("size") - 1e-9))).select("mask", "row", "run", "left", "size"))
+
+
+def _met(filed: DataFrame, rows: DataFrame, similarity: float, also: F.Column | None = None) -> DataFrame:
+    """(x, y) of the rows (mask, row, d) that share a filed run with enough runs behind it in both for the similarity."""
+    share = similarity / (1 + similarity)
+    mine = filed.join(rows, ["mask", "row"])
+    small = mine.where(F.col("left") + 1 >= F.ceil(2 * share * F.col("size") - 1e-9))  # its partner is as large or larger
+    small = small.select("mask", "run", F.col("row").alias("x"), F.col("size").alias("sx"), F.col("left").alias("lx"), F.col("d").alias("dx"))
+    large = mine.select("mask", "run", F.col("row").alias("y"), F.col("size").alias("sy"), F.col("left").alias("ly"), F.col("d").alias("dy"))
+    fits = (F.col("x") != F.col("y")) & (F.col("sx") <= F.col("sy")) & (F.least("lx", "ly") + 1 >= F.ceil(share * (F.col("sx") + F.col("sy")) - 1e-9))
+    return small.join(large, ["mask", "run"]).where(fits if also is None else fits & also).select("x", "y")
+
+
 def _hot_links(members: DataFrame, texts: DataFrame, k: int, similarity: float, rounds: int = 6) -> DataFrame:
     """Links inside hot tables (mask, row), complete up to connectivity, without pairing a table off.
 
     Each round takes a table's smallest open row as its pivot and compares all open rows with it. Rows within the
     radius belong to the pivot's group; the others stay open. An open row y can only be linked to a row x of the
     pivot's group if d(x, pivot) >= d(y, pivot) - (1 - t), as Jaccard distance is a metric; only those pairs are
-    compared as well. After the last round, the rows still open are compared with each other.
+    compared as well. After the last round, the rows still open are compared with each other. Both comparisons take
+    only pairs that meet again when the table is filed under its own rare runs (_refiled), not all of a table.
     """
     radius = 1 - similarity + 1e-9
     links: DataFrame | None = None
+    filed: DataFrame | None = None
 
     def add(found: DataFrame) -> None:
         nonlocal links
@@ -284,10 +324,6 @@ def _hot_links(members: DataFrame, texts: DataFrame, k: int, similarity: float,
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
         return cut(_similarities(pairs, texts, k))
 
-    def salted(left: DataFrame, right: DataFrame, salts: int = 32) -> DataFrame:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
-        return left.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))), ["mask", "salt"])
-
     open_rows = members
     for _ in range(rounds):
         pivots = open_rows.groupBy("mask").agg(F.min("row").alias("x"))
@@ -295,16 +331,16 @@ def _hot_links(members: DataFrame, texts: DataFrame, k: int, similarity: float,
         known = compare(star)
         add(known)
         with_d = star.where("x <> y").join(known.withColumnsRenamed({"a": "x", "b": "y"}), ["x", "y"]).withColumn("d", 1 - F.col("j"))
-        with_d = cut(with_d.select("mask", "x", "y", "d"))
-        near, far = with_d.where(F.col("d") <= radius), with_d.where(F.col("d") > radius)
-        cross = salted(near.select("mask", F.col("y").alias("x"), F.col("d").alias("dx")), far.select("mask", "y", "d")).where(F.col("dx") >= F.col("d") - radius)
-        if not cross.isEmpty():
-            add(compare(cross))
-        open_rows = far.select("mask", F.col("y").alias("row"))
+        with_d = cut(with_d.select("mask", F.col("y").alias("row"), "d"))
+        open_rows = with_d.where(F.col("d") > radius).select("mask", "row")
         if open_rows.isEmpty():
             return links
-    last = salted(open_rows.withColumnRenamed("row", "x"), open_rows.withColumnRenamed("row", "y")).where("x < y")
-    add(compare(last))
+        if filed is None:
+            filed = _refiled(with_d.select("mask", "row"), texts, k, similarity)
+        near = lambda c: F.col(c) <= radius
+        cross = _met(filed, with_d, similarity, (near("dx") != near("dy")) & (F.abs(F.col("dx") - F.col("dy")) <= radius))
+        add(compare(cross))
+    add(compare(_met(filed, open_rows.withColumn("d", F.lit(1.0)), similarity)))
     return links
 
 

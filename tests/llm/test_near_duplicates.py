@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm import near_duplicates
 from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_members
 
 WORD = re.compile(r"[^\W_]+")
@@ -71,3 +72,22 @@ def test_empty_and_long(spark):
     long = " ".join(f"t{i % 5000}" for i in range(60_000))
     df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x")], "id long, t string")
     assert {(r.row, r.component) for r in near_duplicate_groups(df, "id", F.col("t")).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_a_phrase_in_unlike_rows_is_not_paired_off(spark, monkeypatch):
+    """No row is near a pivot of the six rounds, so all other rows are still open after the last one."""
+    phrase = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join([*phrase, *[f"r{i}x{j}" for j in range(20)]])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(140, 150)]
+    compared = []
+    plain = near_duplicates._similarities
+
+    def counted(pairs, texts, k):
+        compared.append(pairs.count())
+        return plain(pairs, texts, k)
+
+    monkeypatch.setattr(near_duplicates, "_similarities", counted)
+    texts = spark.createDataFrame(rows, "row long, text string")
+    links = near_duplicates._hot_links(texts.select(F.lit(1).cast("long").alias("mask"), "row"), texts, 3, 0.6)
+    assert {(r.a, r.b) for r in links.where("a <> b").collect()} == {(i, 1000 + i) for i in range(140, 150)}
+    assert len(compared) == 13 and compared[-1] == 10 and sum(compared) < 7 * len(rows)
