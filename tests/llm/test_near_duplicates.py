@@ -74,6 +74,14 @@ def test_empty_and_long(spark):
     assert {(r.row, r.component) for r in near_duplicate_groups(df, "id", F.col("t")).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
+@pytest.mark.parametrize("seed, k, t, hot", [(2, 3, 0.6, 2), (4, 1, 0.5, 4), (5, 2, 1.0, 3)])
+def test_crowded_tables_against_all_pairs(spark, seed, k, t, hot):
+    rows = corpus(seed, 160) + [(900, ""), (901, ""), (902, "w1"), (903, "W1!"), (904, None), (905, "w1 w2")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.row: r.component for r in near_duplicate_groups(df.repartition(5), "id", F.col("t"), k=k, similarity=t, hot_table=hot).collect()}
+    assert got == brute(rows, k, t)
+
+
 def test_a_phrase_in_unlike_rows_is_not_paired_off(spark, monkeypatch):
     """No row is near a pivot of the six rounds, so all other rows are still open after the last one."""
     phrase = [f"p{i}" for i in range(20)]
