@@ -109,7 +109,7 @@ def truncated(answer: str) -> bool:
         return True
     whole = sentence_end(core)
     if whole:
-        return any(x in ("(", "[", "{", "“", "„", "«", "```") for x in open_parts(core))
+        return any(x in ("(", "[", "{", "“", "„", "«", "```", "•") or x[0] == "<" for x in open_parts(core))
     if core[-1] == "." or open_parts(core):
         return True
     words = re.findall(r"[^\W\d_]+", core)

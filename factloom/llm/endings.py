@@ -21,14 +21,24 @@ _ENTITY_OPEN = re.compile(r"&(#x?[0-9a-fA-F]*|[a-zA-Z]{1,10})$")
 _RESIDUE = re.compile(r"(?:�|\[?\s*(?:\.\.\.+|…)\s*\]?|\[|[-‐‑–—,;:&/\\(<]|\\u[0-9a-fA-F]{0,3})$")
 _BROKEN = re.compile(r"[\ud800-\udfff]$")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s*$")
+_LISTED = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+\S", re.M)
+# Elements that must be closed; others may stand alone.
+_ELEMENT = re.compile(r"<(/?)(a|b|i|u|s|em|strong|span|div|code|pre|sup|sub|q|cite|mark|small|blockquote|table|ul|ol|h[1-6])(?:\s[^<>]*)?>", re.I)
 _LAST_WORD = re.compile(r"([^\s]+?)\.$")
 
 
 def open_parts(text: str) -> list[str]:
-    """What the text opens and does not close: brackets, quotes, code fences; a stack machine over the characters."""
+    """What the text opens and does not close: brackets, quotes, elements, code fences, an empty last item; a stack machine over the characters."""
     stack: list[str] = []
-    for c in text:
-        if c in _OPENERS:
+    for i, c in enumerate(text):
+        if c == "<" and (tag := _ELEMENT.match(text, i)):
+            name = "<" + tag[2].lower()
+            if not tag[1]:
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
+        elif c in _OPENERS:
             stack.append(c)
         elif c in _CLOSERS:
             if _MATES[c] in stack:
@@ -44,6 +54,9 @@ def open_parts(text: str) -> list[str]:
             stack.pop()  # a straight quote does not span paragraphs: it was an inch mark or a slip
     if len(_FENCE.findall(text)) % 2:
         stack.append("```")
+    before, _, last = text.rstrip().rpartition("\n")
+    if _LIST_ITEM.match(last) and _LISTED.search(before):
+        stack.append("•")
     return stack
 
 

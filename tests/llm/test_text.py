@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm.broken_pairs import broken_pairs, defect
+from factloom.llm.broken_pairs import broken_pairs, defect, truncated
 from factloom.llm.consistent_text import consistent_array, consistent_text
 from factloom.llm.cut_texts import CUT, WHOLE, CutTexts, ending, significant_lengths
 from factloom.llm.endings import open_parts
@@ -108,6 +108,11 @@ def test_stack():
     assert open_parts('a (b [c] d) "e"') == [] and open_parts("a (b [c") == ["(", "["] and open_parts("```\nx") == ["```"] and open_parts("a ) b") == []
 
 
+@pytest.mark.parametrize("answer, cut_off", [("1. Rome.\n2.", True), ("- Rome.\n- Bonn.\n*", True), ("It is <b>Rome.", True), ("<ul>It is <em>Rome</em>.", True), ("1. Rome.\n2. Bonn.", False), ("It was built in\n1999.", False), ("It is <b>Rome</b>.", False), ("It is <br>Rome.", False), ("2 <3 and 4> 3.", False)])
+def test_lists_and_elements(answer, cut_off):
+    assert truncated(answer) is cut_off
+
+
 def test_limits_and_report(spark):
     rows = [(i, "s", "w" * (60 + int(-80 * math.log((i + 0.5) / 400))) + " is so.") for i in range(400)] + [(1000 + i, "s", ("This is it. " + "wo" * 100)[:150]) for i in range(60)] + [(2000 + i, None, None) for i in range(3)] + [(3000, "t", "   ")]
     df = spark.createDataFrame(rows, "id long, src string, t string").withColumn("source", F.lit("clash"))
