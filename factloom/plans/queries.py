@@ -351,7 +351,7 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples tied together by rows of the response log and the factoid dataset: the groups that must not be split."""
+    """Sample rows of equal id: the groups that must not be split. Log and dataset rows name one id each and tie no others."""
     a = _table(spark, sf_dir, "example_asqa").where("id is not null").groupBy("id").agg(F.min("row_id").alias("first"))
     edges = _table(spark, sf_dir, "example_asqa").join(a, "id").select("row_id", "first")
     return components.connected_components(edges, "row_id", "first")
