@@ -29,14 +29,14 @@ class _Items:
         self.seeds, self.owner = seeds[order], owner[order]
 
 
-def _scan(shared: object, run: int, piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(shared: object, run: int, piece: int, coverage: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: _Items = shared.value
         known = WordHashes()
         for batch in batches:
             lists = [words(t) for t in batch.column(1).to_pylist()]
             flat, starts = hashed(lists, known)
-            seeds, doc = run_hashes(flat, starts, run)
+            seeds, doc = run_hashes(flat, starts, run if coverage is None else min(piece, run))
             first, last = np.searchsorted(items.seeds, seeds, "left"), np.searchsorted(items.seeds, seeds, "right")
             hit = np.flatnonzero(last > first)
             pairs = {(int(doc[i]), int(o)) for i in hit for o in np.unique(items.owner[first[i] : last[i]])}
@@ -46,6 +46,8 @@ def _scan(shared: object, run: int, piece: int) -> Callable[[Iterator[pa.RecordB
                 passage = items.words[o]
                 tiles = greedy_tiles(passage, lists[d], min(piece, run))
                 longest, tiled = max((t[2] for t in tiles), default=0), sum(t[2] for t in tiles)
+                if longest < run and (coverage is None or tiled < coverage * len(passage) - 1e-9):
+                    continue
                 rows.append((keys[d], items.ids[o], longest, tiled, len(tiles), tiled / len(passage)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "item_id", "longest", "tiled", "tiles", "coverage"])
@@ -53,13 +55,16 @@ def _scan(shared: object, run: int, piece: int) -> Callable[[Iterator[pa.RecordB
     return scan
 
 
-def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = 12, piece: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = 12, piece: int = 5, block_chars: int = BLOCK_CHARS, coverage: float | None = None) -> DataFrame:
     """(doc_id, item_id, longest, tiled, tiles, coverage) for each document that holds `run` words of a passage in a row.
 
-    Seeds are the running Karp-Rabin hashes of `run` words; documents that share one with a passage are tiled with it:
+    With a `coverage`, documents whose tiles cover this share of a passage are leaks as well, however short its pieces:
+    this finds passages reordered in parts of fewer than `run` words, but none shorter than `piece`.
+
+    Seeds are the running Karp-Rabin hashes of `run` words (of `piece` words with a `coverage`); documents that share one with a passage are tiled with it:
     the longest non-overlapping common runs of at least `piece` words, longest first. longest is the longest tile;
     coverage the share of the passage that tiles cover, in any order, so reordered passages show. Null or blank texts
-    and passages shorter than a run take no part. Ids are cast to bigint; repeated rows are reported each.
+    and passages shorter than a seed take no part. Ids are cast to bigint; repeated rows are reported each.
 
     Items are the stated queries: they are brought to the driver and broadcast in blocks of bounded size, each scanned
     against every document, without a shuffle.
@@ -71,8 +76,8 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     out: DataFrame | None = None
     for b in range(blocks):
         rows = [(r.i, r.p) for r in asked.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(_Items(rows, run))
-        found = narrow.mapInArrow(_scan(shared, run, piece), _SCHEMA).where(F.col("longest") >= run)
+        shared = docs.sparkSession.sparkContext.broadcast(_Items(rows, run if coverage is None else min(piece, run)))
+        found = narrow.mapInArrow(_scan(shared, run, piece, coverage), _SCHEMA)
         out = found if out is None else out.union(found)
     return out
 

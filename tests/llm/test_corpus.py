@@ -102,3 +102,11 @@ def test_reordered_passages_show_in_the_coverage(spark):
     found = leaked_passages(df, "id", "t", q, "i", "p")
     row = found.first()
     assert (row.longest, row.tiles, row.coverage) == (20, 2, 1.0) and leak_report(found).first().documents == 1
+
+
+def test_short_pieces_are_found_by_their_coverage(spark):
+    p = [f"a{i}" for i in range(40)]
+    doc = " mid ".join(" ".join(p[i : i + 8]) for i in (32, 16, 0, 24, 8))
+    df, q = spark.createDataFrame([(1, doc), (2, " ".join(p[:8]))], "id long, t string"), spark.createDataFrame([(7, " ".join(p))], "i long, p string")
+    assert leaked_passages(df, "id", "t", q, "i", "p").count() == 0
+    assert [(r.doc_id, r.longest, r.tiles, r.coverage) for r in leaked_passages(df, "id", "t", q, "i", "p", coverage=0.5).collect()] == [(1, 8, 5, 1.0)]
