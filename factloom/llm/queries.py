@@ -72,8 +72,12 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir).report().select("plan_id", "cell_id", "available", "wanted", "unmet")
 
 
+def p4_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark, sf_dir).report().select("plan_id", "cell_id", "seats", "short", "reason")
+
+
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir).sample().withColumnRenamed("row", "id")
+    return _sample(spark, sf_dir).sample().withColumnRenamed("row", "id").withColumn("priority", F.round("priority", 6))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +117,5 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (p1_found, p1_groups, p2_found, p2_forms, p3_found, p3_records, p4_found, p4_report, p4_sample, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_report, p8_limits)
+    all_of = (p1_found, p1_groups, p2_found, p2_forms, p3_found, p3_records, p4_found, p4_report, p4_shortfall, p4_sample, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_report, p8_limits)
     return {f.__name__: f for f in all_of}

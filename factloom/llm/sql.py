@@ -54,6 +54,26 @@ with d as (
 )
 """
 
+# The sample by sorting every record: random ranks, floors first, then the smallest divisor priorities.
+_MIXED = "xor({x}, {x} >> 16)"
+_DRAW = "xor(xor(id % 4294967296, (id >> 32) % 4294967296), 42)"
+for _ in range(2):
+    _DRAW = f"({_MIXED.format(x=_DRAW)} * 73244475 % 4294967296)"
+_SAMPLE = r"""
+with d as (
+  select id, regexp_replace(lower(factoid_type), '\s', '', 'g') as a, regexp_replace(lower(answer_type), '\s', '', 'g') as b, context_support as c, {draw} as o from example_dataset
+), s as (
+  select *, regexp_replace(lower(factoid_type), '\s', '', 'g') as a, regexp_replace(lower(answer_type), '\s', '', 'g') as b, context_support as c from sampling_target
+), m as (
+  select s.plan_id, s.cell_id, d.id, row_number() over (partition by s.cell_id order by o, d.id) as rank, s.target_share, s.sample_rows, coalesce(s.min_rows, 0) as floor
+  from s join d on (s.a is null or s.a = d.a) and (s.b is null or s.b = d.b) and (s.c is null or s.c = d.c)
+), p as (
+  select *, rank <= floor as is_floor, case when target_share > 0 then (rank - 0.5) / target_share end as priority from m
+), g as (
+  select *, row_number() over (partition by plan_id order by is_floor desc, priority nulls last, cell_id) as place from p where is_floor or priority is not null
+), k as (select * from g where place <= sample_rows)
+""".format(draw=_MIXED.format(x=_DRAW))
+
 _LEAKS = r"""
 with d as (
   select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null
@@ -73,5 +93,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_records": _COPIES + "select g as id, count(*) as copies from c group by g",
         "p4_found": _CELLS + "select plan_id, cell_id from n where available < wanted or available < min_rows",
         "p4_report": _CELLS + "select plan_id, cell_id, available, wanted, available < wanted or available < min_rows as unmet from n",
+        "p4_sample": _SAMPLE + "select plan_id, cell_id, id, rank, is_floor, round(priority, 6) as priority from k",
+        "p4_shortfall": _SAMPLE
+        + """, n as (
+  select s.plan_id, s.cell_id, coalesce(cast(round(s.target_share * s.sample_rows) as bigint), 0) as wanted, coalesce(s.min_rows, 0) as floor,
+    (select count(*) from m where m.cell_id = s.cell_id) as available, (select count(*) from k where k.cell_id = s.cell_id) as seats
+  from s
+) select plan_id, cell_id, seats, greatest(wanted - seats, 0) as short, case when available < wanted then 'rows' when available < floor then 'floor' when seats < wanted then 'other cells' end as reason from n""",
         "p7_found": _LEAKS + "select distinct doc_id, item_id from x join y on x.run = y.run",
     }

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from factloom.session import cut
+
 #: Plans of at most this many cells are sent to all executors; larger ones are joined by shuffle.
 BROADCAST_CELLS = 10_000
 #: A cell is ranked in this many slices of its random order, so that no task sorts a whole cell.
@@ -86,29 +88,40 @@ class TargetSample:
             return F.xxhash64(pattern, *parts), F.concat_ws("\u0001", *parts)
 
         rows = df.select(F.col(row_id).cast("long").alias("row"), *shown).where("row is not null")
-        fits = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: self._mask_of_row(len(labels)).bitwiseAND(p) == p) if patterns else F.array().cast("array<int>")
-        rows = rows.withColumn("pattern", F.explode(fits))
         hashed, text = key(F.col("pattern"))
         keyed = self._hint(cells.withColumn("h", hashed).withColumn("t", text).select("plan_id", "cell_id", "h", "t", "pattern"))
-        draw = F.xxhash64(F.lit(seed), "row")
-        self.members = rows.withColumn("h", hashed).withColumn("t", text).join(keyed, ["h", "t", "pattern"]).select("plan_id", "cell_id", "row", draw.alias("draw"), F.shiftright(draw, 64 - SLICES_BITS).alias("slice"))
+
+        def placed(some: DataFrame) -> DataFrame:
+            """some, once for each cell that its labels belong to."""
+            fits = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: self._mask_of_row(len(labels)).bitwiseAND(p) == p) if patterns else F.array().cast("array<int>")
+            return some.withColumn("pattern", F.explode(fits)).withColumn("h", hashed).withColumn("t", text).join(keyed, ["h", "t", "pattern"])
+
+        draw = random_order(F.col("row"), seed)
+        self.members = placed(rows).select("plan_id", "cell_id", "row", draw.alias("draw"), F.shiftright(draw, 32 - SLICES_BITS).alias("slice"))
+        combined = rows.groupBy(*[f"l{i}" for i in range(len(labels))]).agg(F.count("*").alias("n"))
+        self._available = lambda: placed(combined).groupBy("plan_id", "cell_id").agg(F.sum("n").alias("available"))
 
     @staticmethod
     def _mask_of_row(n: int) -> Column:
         return sum((F.when(F.col(f"l{i}").isNotNull(), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
 
-    def ranked(self) -> DataFrame:
-        """members with their random rank in the cell: a rank in the slice plus the sizes of the slices before."""
+    def _slices(self) -> DataFrame:
+        """(plan_id, cell_id, slice, n, before): sizes of the slices of each cell's random order, combined per task."""
         sizes = self.members.groupBy("plan_id", "cell_id", "slice").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(W.partitionBy("plan_id", "cell_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        offsets = self._hint(sizes.withColumn("before", before).select("cell_id", "slice", "before"))  # cells x slices rows
+        before = F.sum("n").over(W.partitionBy("plan_id", "cell_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+        return sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+
+    def _ranked(self, members: DataFrame, slices: DataFrame) -> DataFrame:
         inside = F.row_number().over(W.partitionBy("cell_id", "slice").orderBy("draw", "row"))
-        return self.members.withColumn("inside", inside).join(offsets, ["cell_id", "slice"]).select("plan_id", "cell_id", "row", (F.col("before") + F.col("inside")).alias("rank"))
+        return members.withColumn("inside", inside).join(slices.select("cell_id", "slice", "before"), ["cell_id", "slice"]).select("plan_id", "cell_id", "row", (F.col("before") + F.col("inside")).alias("rank"))
 
-    def priorities(self) -> DataFrame:
-        """ranked with is_floor and the divisor priority (rank - 0.5) / target_share."""
+    def _with_priorities(self, ranked: DataFrame) -> DataFrame:
         cells = self._hint(self.cells.select("cell_id", "target_share", "min_rows"))
-        return self.ranked().join(cells, "cell_id").select("plan_id", "cell_id", "row", "rank", (F.col("rank") <= F.coalesce("min_rows", F.lit(0))).alias("is_floor"), F.when(F.col("target_share") > 0, (F.col("rank") - 0.5) / F.col("target_share")).alias("priority"))
+        return ranked.join(cells, "cell_id").select("plan_id", "cell_id", "row", "rank", (F.col("rank") <= F.coalesce("min_rows", F.lit(0))).alias("is_floor"), F.when(F.col("target_share") > 0, (F.col("rank") - 0.5) / F.col("target_share")).alias("priority"))
+
+    def priorities(self) -> DataFrame:
+        """All members with their random rank in the cell, is_floor and the divisor priority (rank - 0.5) / target_share."""
+        return self._with_priorities(self._ranked(self.members, self._slices()))
 
     def allocation(self, available: DataFrame) -> DataFrame:
         """Seats of each cell from the number of rows it has; one group holds the cells of one plan."""
@@ -117,19 +130,41 @@ class TargetSample:
         return cells.join(dealt, ["plan_id", "cell_id"])
 
     def sample(self) -> DataFrame:
-        """(plan_id, cell_id, row, rank, is_floor, priority): the rows drawn for each plan."""
-        ranked = self.priorities()
-        available = ranked.groupBy("plan_id", "cell_id").agg(F.max("rank").alias("available"))
-        seats_of = self._hint(self.allocation(available).select("plan_id", "cell_id", "seats"))
-        return ranked.join(seats_of, ["plan_id", "cell_id"]).where("rank <= seats").drop("seats")
+        """(plan_id, cell_id, row, rank, is_floor, priority): the rows drawn for each plan.
 
-    def report(self) -> DataFrame:
-        """(plan_id, cell_id, available, wanted, min_rows, seats, unmet): unmet if the cell has fewer rows than wanted.
+        The sizes of the slices say which slice holds a cell's last seat; later slices leave before anything is sorted.
+        """
+        slices = self._slices()
+        seats_of = self._hint(self.allocation(slices.groupBy("plan_id", "cell_id").agg(F.sum("n").alias("available"))).select("cell_id", "seats"))
+        kept = cut(slices.join(seats_of, "cell_id").where("before < seats"))  # cells x 256 rows at most
+        last = self._hint(kept.groupBy("cell_id").agg(F.max("slice").alias("last"), F.first("seats").alias("seats")))
+        few = self.members.join(last, "cell_id").where("slice <= last").drop("last", "seats")
+        ranked = self._ranked(few, kept).join(last, "cell_id").where("rank <= seats").drop("last", "seats")
+        return self._with_priorities(ranked)
 
-        wanted is target_share x sample_rows to the nearest whole number; available is the largest rank drawn.
+    def report(self) -> DataFrame:
+        """(plan_id, cell_id, available, wanted, min_rows, seats, unmet, short, reason) of every cell.
+
+        wanted is target_share x sample_rows to the nearest whole number: the ranks whose divisor priority
+        (rank - 0.5) / target_share is at most sample_rows. unmet: the first rank that the cell has no row for would
+        still have got a seat, by that priority or as one of its min_rows floors. short is what the dealt seats lack of
+        wanted, and reason says why: 'rows' (too few rows), 'floor' (too few rows for the floor only), 'other cells'
+        (there are rows, but the sample's seats went to the floors of other cells). Rows are counted by their labels
+        first, so the report shuffles combinations of labels, not rows.
         """
-        available = self.priorities().groupBy("plan_id", "cell_id").agg(F.max("rank").alias("available"))
-        wanted = F.round(F.col("target_share") * F.col("sample_rows")).cast("long")
-        dealt = self.allocation(available).withColumn("wanted", wanted)
-        unmet = (F.col("available") < F.col("wanted")) | (F.col("available") < F.coalesce("min_rows", F.lit(0)))
-        return dealt.select("plan_id", "cell_id", "available", "wanted", "min_rows", "seats", F.coalesce(unmet, F.lit(False)).alias("unmet"))
+        dealt = self.allocation(self._available())
+        wanted = F.coalesce(F.round(F.col("target_share") * F.col("sample_rows")).cast("long"), F.lit(0))
+        by_share = F.coalesce(F.col("available") + 0.5 <= F.col("target_share") * F.col("sample_rows"), F.lit(False))
+        by_floor = F.coalesce(F.col("available") + 1 <= F.col("min_rows"), F.lit(False))
+        short = F.greatest(wanted - F.col("seats"), F.lit(0))
+        reason = F.when(by_share, "rows").when(by_floor, "floor").when(short > 0, "other cells")
+        return dealt.select("plan_id", "cell_id", "available", wanted.alias("wanted"), "min_rows", "seats", (by_share | by_floor).alias("unmet"), short.alias("short"), reason.alias("reason"))
+
+
+def random_order(key: Column, seed: int = 42) -> Column:
+    """A pseudo-random 32-bit order of bigint keys by integer steps that any engine can repeat; ties by the key itself."""
+    low = F.lit(1 << 32)
+    x = F.pmod(key, low).bitwiseXOR(F.pmod(F.shiftright(key, 32), low)).bitwiseXOR(F.lit(seed).cast("long"))
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(0x45D9F3B), low)
+    return x.bitwiseXOR(F.shiftright(x, 16))

@@ -107,6 +107,14 @@ def test_sample(spark, plan):
     assert {(r.cell_id, r.row) for r in other} != {(r.cell_id, r.row) for r in drawn}
 
 
+def test_shortfall(spark):
+    """Floors of small cells take the seats of a large one: its rows would do, its seats do not."""
+    targets = spark.createDataFrame([(1, 1, "big", 0.8, 100, 0), (1, 2, "x", 0.1, 100, 50), (1, 3, "y", 0.1, 100, 30), (2, 4, "z", 0.5, 10, 9), (2, 5, "big", 0.5, 10, 0), (3, 6, "y", 0.01, 100, 60)], "plan_id long, cell_id long, kind string, target_share double, sample_rows long, min_rows long")
+    df = spark.range(1000).select("id", F.lit("big").alias("kind")).union(spark.range(2000, 2060).select("id", F.lit("X"))).union(spark.range(3000, 3040).select("id", F.lit(" y "))).union(spark.range(4000, 4005).select("id", F.lit("Z")))
+    report = {r.cell_id: (r.wanted, r.seats, r.unmet, r.short, r.reason) for r in TargetSample(df, targets, "id", ["kind"]).report().collect()}
+    assert report == {1: (80, 20, False, 60, "other cells"), 2: (10, 50, False, 0, None), 3: (10, 30, False, 0, None), 4: (5, 5, True, 0, "floor"), 5: (5, 5, False, 0, None), 6: (1, 40, True, 0, "floor")}
+
+
 def test_empty_sides(spark, plan):
     df, targets = plan
     assert TargetSample(df, targets.where("false"), "id", ["kind", "ok"]).report().count() == 0
