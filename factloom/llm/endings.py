@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 # Abbreviations whose point ends no sentence, and short forms that may close one.
-ABBREVIATIONS = frozenset("dr mr mrs ms prof st mt ft capt lt sgt sr sra srta mme mlle nr nº núm vol vols figs nos pp approx ca cf vs e.g i.e z.b d.h bzw inkl ggf sog geb env p.ej".split())
+ABBREVIATIONS = frozenset("dr mr mrs ms prof st mt ft capt lt sgt col gen rev hon sr sra srta dra mme mlle nr nº núm vol vols fig figs nos pp ed eds approx aprox ca cf vs viz resp dept univ e.g i.e z.b d.h u.a bzw inkl exkl ggf evtl vgl sog geb gest bd hrsg abb env p.ej p.ex c.-à-d av bd pág págs avda ej tel".split())
 CLOSING_SHORT = frozenset("etc usw u.s.w inc ltd co corp jr sr a.m p.m u.s u.k".split())
 # Words that can't end a sentence.
 OPEN_WORDS = frozenset(

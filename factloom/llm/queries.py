@@ -113,7 +113,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cuts(spark, sf_dir).limits()
+    return _cuts(spark, sf_dir).limits().select("source", "unit", "length", "n", "at_risk", *[F.round(c, 6).alias(c) for c in ("hazard", "near", "q")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

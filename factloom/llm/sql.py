@@ -85,6 +85,28 @@ with d as (
 """
 
 
+# Length hazards by window functions, Chernoff bounds, and the false discovery rate over all tests sorted at once.
+_LIMITS = """
+with l as (
+  select source, length(text) as chars, strlen(text) as bytes from documents where text is not null and text <> ''
+), u as (select source, 'chars' as unit, chars as length from l union all select source, 'bytes', bytes from l
+), c as (select source, unit, length, count(*) as n from u group by all
+), r as (
+  select *, cast(sum(n) over (w rows between current row and unbounded following) as bigint) as at_risk from c window w as (partition by source, unit order by length)
+), t as (
+  select *, sum(n) over v - n as ends, sum(at_risk) over v - at_risk as risks, count(*) over v - 1 as others
+  from r window v as (partition by source, unit order by length range between 25 preceding and 25 following)
+), h as (
+  select *, (ends + 0.5::double) / (coalesce(risks::double / nullif(others, 0), at_risk) * 50 + at_risk) as near from t
+), p as (
+  select *, case when n > at_risk * near then n - at_risk * near - n * ln(n / (at_risk * near)) else 0.0 end as log_p from h
+), m as (
+  select *, exp(log_p) * (select count(*) from p) / row_number() over (order by log_p, source nulls first, unit, length) as p_m from p
+), q as (select *, min(p_m) over (order by log_p, source nulls first, unit, length rows between current row and unbounded following) as q from m
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _GROUPS + "select group_id as row_id_a, row_id as row_id_b from c where group_id <> row_id",
@@ -100,5 +122,6 @@ def oracle_sql() -> dict[str, str]:
     (select count(*) from m where m.cell_id = s.cell_id) as available, (select count(*) from k where k.cell_id = s.cell_id) as seats
   from s
 ) select plan_id, cell_id, seats, greatest(wanted - seats, 0) as short, case when available < wanted then 'rows' when available < floor then 'floor' when seats < wanted then 'other cells' end as reason from n""",
+        "p8_limits": _LIMITS + "select source, unit, length, n, at_risk, round(n / at_risk, 6) as hazard, round(near, 6) as near, round(q, 6) as q from q where q <= 0.01",
         "p7_found": _LEAKS + "select distinct doc_id, item_id from x join y on x.run = y.run",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.broken_pairs import broken_pairs, defect, truncated
 from factloom.llm.consistent_text import consistent_array, consistent_text
-from factloom.llm.cut_texts import CUT, WHOLE, CutTexts, ending, significant_lengths
+from factloom.llm.cut_texts import CUT, RUNNING, WEAK, WHOLE, CutTexts, ending, plainly_whole, significant_lengths
 from factloom.llm.endings import open_parts
 from factloom.llm.languages import foreign
 from factloom.llm.tiling import greedy_tiles
@@ -125,6 +125,27 @@ def test_limits_and_report(spark):
     assert none.found().count() == 0 and none.report().count() == 0
 
 
+def test_limits_decide_what_endings_leave_open(spark):
+    """Titles cut at a source's limit are found there only; a running line off the limits where its source ends whole."""
+    whole = [(i, "s", "w" * (40 + i % 300) + " ends so.") for i in range(600)]
+    at_limit = [(1000 + i, "s", ("Old Harbour Museum Guide " + chr(65 + i % 26) * 80)[:70]) for i in range(40)]
+    titles = [(2000 + i, "s", "Old Harbour Guide " + "W" * i) for i in range(5)]
+    running = [(3000, "s", "They built many houses quickly then stopped workin"), (3001, "loose", "They built many houses quickly then stopped workin"), (3002, "loose", "Old Harbour")]
+    null, blank = [(4000 + i, None, "w" * (30 + i) + " is so.") for i in range(60)] + [(4100 + i, None, ("Grand Hotel " * 9)[:70]) for i in range(30)], [(5000 + i, "", ("Grand Hotel " * 9)[: 50 + i]) for i in range(30)]
+    c = CutTexts(spark.createDataFrame(whole + at_limit + titles + running + null + blank, "id long, src string, t string"), "id", "t", "src")
+    assert {(x.source, x.unit, x.length) for x in c.limits().collect()} == {(src, u, 70) for src in ("s", None) for u in ("chars", "bytes")}
+    rules = {x.key: x.rule for x in c.marked().where("rule is not null").collect()}
+    assert rules == {i: "limit" for i in [*range(1000, 1040), *range(4100, 4130)]} | {3000: "habit"}
+    assert {ending(t) for _, _, t in at_limit} == {WEAK} and ending(running[0][2]) == RUNNING
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["It", "ends", "Dr.", "the.", "etc.", "so.", "so!", "?", "…", "..", "ÉTÉ.", "x.”", "\n", " ", "\u00a0", "e.g.", "🙂", "12."]), max_size=6).map(" ".join), max_size=30))
+def test_the_plain_rule_agrees(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", plainly_whole(F.col("t")).alias("plain")).collect()
+    assert all(ending(r.t) == WHOLE for r in rows if r.plain)
+
+
 def test_even_lengths_have_no_limit(spark):
     judged = spark.range(2000).selectExpr("id as key", "'s' as source", "100 + cast(-200 * ln((id + 0.5) / 2000) as bigint) as chars", "100 + cast(-200 * ln((id + 0.5) / 2000) as bigint) as bytes", "0 as ending")
     assert significant_lengths(judged).count() == 0
