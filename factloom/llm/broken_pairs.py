@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.consistent_text import consistent_array
 from factloom.llm.endings import open_parts, sentence_end, strip_residue
-from factloom.llm.languages import _LISTS, foreign, script_of
+from factloom.llm.languages import _LISTS, foreign, languages, other_profile, other_script
 from factloom.llm.tiling import greedy_tiles
 
 # Stand-ins for a missing value, without case and outer punctuation.
@@ -41,6 +41,7 @@ _REFUSALS = {
         r"\b(?:passages?|context|documents?|sources?|texts?|information) (?:provided |given )?(?:do|does|did) not (?:allow|permit|enable|let) (?:me|us)",
         r"\b(?:the answer|an answer) (?:is not available|cannot be (?:given|provided|determined))",
         r"\b(?:not able|unable) to (?:answer|help|assist|comment|provide|respond)",
+        r"\b(?:question|request|topic|subject|this|that) (?:falls|lies|is|goes) (?:well )?(?:outside|beyond) (?:of )?(?:what (?:i|we) (?:can|do|am|are|could|may)|my|our|the scope)",
     ],
     "fr": [
         r"\bje (?:ne|n')? ?(?:peux|puis|suis|saurais|veux|souhaite|dispose)(?: pas)?(?: \w+){{0,3}} (?:répondre|aider|fournir|commenter|donner|prononcer|discuter|autorisée?|mesure|informations?)",
@@ -54,8 +55,16 @@ _REFUSALS = {
     ],
 }
 _REFUSAL = re.compile("|".join(p.format(**_G) for group in _REFUSALS.values() for p in group))
-#: A refusal says nothing else: what follows its clause is at most an excuse or advice of this many words.
-TAIL_WORDS = 14
+# What goes with a refusal without answering: excuses, advice, offers; and what turns a refusing sentence round.
+_TALK = re.compile(
+    r"\b(?:sorry|apolog\w+|unfortunately|regret\w*|please|try|consult|contact|ask|refer to|check|visit|look up|recommend|suggest|advise|would you|do you|can i|could you|may i|let me know|feel free|happy to|glad to|thank|if you|you (?:can|could|may|might|should|will|would|need|want)|your|anything else|instead|as an? (?:ai|assistant|language model|large language model)|language model"
+    r"|désolée?|malheureusement|regrette\w*|veuillez|essayez|consulte[rz]|contactez|adressez|vérifiez|demandez|souhaitez|pouvez|pourriez|vous|votre|merci|n'hésitez"
+    r"|leider|bedau[re]\w*|bitte|tut mir|versuchen sie|wenden sie|fragen sie|konsultieren|prüfen sie|möchten sie|können sie|gibt es sonst|ihnen|ihre[rnms]?|danke"
+    r"|siento|lament\w+|por favor|disculp\w+|perdón|intente|consulte|pregunte|póngase|contacte|verifique|puede|podría|desea|le recomiendo|gracias|su pregunta)\b"
+)
+_TURN = re.compile(r"\b(?:but|however|though|aber|jedoch|mais|cependant|pero|sino)\b")
+#: The share of a question's letters that a copy may lack.
+COPIED = 0.15
 _FUNCTION = frozenset().union(*_LISTS.values())
 _BREAK = re.compile(r"\s*[^\w\s]")  # what parts a lead-in from the question
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -73,16 +82,24 @@ def is_empty(answer: str | None) -> bool:
 
 
 def copies_question(question: str, answer: str) -> bool:
-    """The answer is the question again: its letters are tiled by the question's, but for a short lead-in."""
+    """The answer is the question again: tiles of its letters, in order, cover question and answer.
+
+    The tiles must hold the word that asks and all but COPIED of the question's letters; the answer may have a short
+    lead-in before them, parted by a mark, and no more than the same share of other letters between or after them.
+    A question turned into its answer loses the asking word or its order, and is no copy.
+    """
     q, a = _letters(question), _letters(answer)
-    if not q or len(a) < len(q) or len(a) > len(q) + 60 or q[:4] not in a:
+    asking = re.search(r"[^\W_]+", question)
+    if not q or len(a) < (1 - COPIED) * len(q) or _letters(asking[0]) not in a:
+        return False
+    slack = int(COPIED * len(q))
+    tiles = sorted(greedy_tiles(q, a, min(4, len(q))))
+    if sum(t[2] for t in tiles) < len(q) - slack or tiles[0][0] > 0 or tiles[0][2] < min(len(_letters(asking[0])), len(q)):
         return False
-    tiles = greedy_tiles(q, a, min(8, len(q)))
-    covered = sum(t[2] for t in tiles)
-    if covered < len(q) or not tiles:
+    if any(y[1] < x[1] for x, y in zip(tiles, tiles[1:])):
         return False
-    begin, end = min(t[1] for t in tiles), max(t[1] + t[2] for t in tiles)
-    if end != len(a) or end - begin != len(q):
+    begin, end = tiles[0][1], tiles[-1][1] + tiles[-1][2]
+    if len(a) - end > min(slack, 3) or end - begin - sum(t[2] for t in tiles) > slack:
         return False
     lead, letters, at = 0, 0, 0
     for word in re.finditer(r"[^\W_]+", answer):
@@ -93,11 +110,34 @@ def copies_question(question: str, answer: str) -> bool:
     return lead == 0 or lead <= LEAD_WORDS and _BREAK.match(answer[at:]) is not None
 
 
-def refuses(answer: str) -> bool:
-    text = " ".join(answer.casefold().replace("’", "'").split())
-    sentences = re.split(r"(?<=[.!?])\s+", text)
-    at = next((i for i, s in enumerate(sentences) if _REFUSAL.search(s)), None)
-    return at is not None and at <= 1 and len(" ".join(sentences[at + 1 :]).split()) <= TAIL_WORDS
+def _news(sentence: str, question: str) -> bool:
+    """Whether a sentence says something: a number or a name that the question does not have.
+
+    A name is a word with a capital inside the sentence, in German two of them in a row; in a text without capitals any
+    sentence of three words or more counts.
+    """
+    if any(n not in question for n in re.findall(r"\d+", sentence)):
+        return True
+    listed = re.findall(r"[^\W\d_]+", sentence)
+    if not any(w[0].isupper() for w in listed):
+        return len(listed) >= 3
+    names = [i > 0 and len(w) > 1 and w[0].isupper() and w.casefold() not in question for i, w in enumerate(listed)]
+    return any(x and y for x, y in zip(names, names[1:])) or any(names) and languages(sentence) != ["de"]
+
+
+def refuses(question: str, answer: str) -> bool:
+    """Some sentence declines, and no other one answers: each is an excuse, advice or an offer, or says nothing new."""
+    q, refused = question.casefold(), False
+    for sentence in re.split(r"(?<=[.!?])\s+", " ".join(answer.replace("’", "'").split())):
+        plain = sentence.casefold()
+        if found := _REFUSAL.search(plain):
+            refused = True
+            turn = _TURN.search(plain, found.end())
+            if turn and _news(sentence[turn.end() :], q):
+                return False
+        elif not _TALK.search(plain) and _news(sentence, q):
+            return False
+    return refused
 
 
 def truncated(answer: str) -> bool:
@@ -109,7 +149,7 @@ def truncated(answer: str) -> bool:
         return True
     whole = sentence_end(core)
     if whole:
-        return any(x in ("(", "[", "{", "“", "„", "«", "```", "•") or x[0] == "<" for x in open_parts(core))
+        return bool(open_parts(core))
     if core[-1] == "." or open_parts(core):
         return True
     words = re.findall(r"[^\W\d_]+", core)
@@ -129,10 +169,9 @@ def defect(question: str, answer: str | None) -> str | None:
         return "empty"
     if copies_question(question, answer):
         return "copies_question"
-    if refuses(answer):
+    if refuses(question, answer):
         return "refusal"
-    asked, said = script_of(question), script_of(answer)
-    if asked and said and asked != said or foreign(question, answer):
+    if other_script(question, answer) or foreign(question, answer) or other_profile(question, answer):
         return "other_language"
     return "truncated" if truncated(answer) else None
 

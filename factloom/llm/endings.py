@@ -15,48 +15,73 @@ OPEN_WORDS = frozenset(
 NEVER_LAST = frozenset("the a an and or le les une des du et und oder el los y".split())
 _OPENERS, _CLOSERS = "([{«“„", ")]}»”"
 _MATES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
-_FENCE = re.compile(r"^\s*(```|~~~)", re.M)
+_FENCES, _STRAIGHT = ("```", "~~~"), ('"', "'")
+_FENCE = re.compile(r"^\s*(```|~~~)")
+# Words that begin with an apostrophe.
+_ELISION = re.compile(r"'(?:tis|twas|em|cause|til|n|bout|round)\b", re.I)
 _TAG_OPEN = re.compile(r"<[a-zA-Z/!][^<>]*$")
 _ENTITY_OPEN = re.compile(r"&(#x?[0-9a-fA-F]*|[a-zA-Z]{1,10})$")
 _RESIDUE = re.compile(r"(?:�|\[?\s*(?:\.\.\.+|…)\s*\]?|\[|[-‐‑–—,;:&/\\(<]|\\u[0-9a-fA-F]{0,3})$")
 _BROKEN = re.compile(r"[\ud800-\udfff]$")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s*$")
-_LISTED = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+\S", re.M)
+_LISTED = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+\S")
 # Elements that must be closed; others may stand alone.
 _ELEMENT = re.compile(r"<(/?)(a|b|i|u|s|em|strong|span|div|code|pre|sup|sub|q|cite|mark|small|blockquote|table|ul|ol|h[1-6])(?:\s[^<>]*)?>", re.I)
 _LAST_WORD = re.compile(r"([^\s]+?)\.$")
 
 
 def open_parts(text: str) -> list[str]:
-    """What the text opens and does not close: brackets, quotes, elements, code fences, an empty last item; a stack machine over the characters."""
+    """What the text opens and does not close, by a pushdown parser: one stack for code fences, brackets, quotations, elements and lists.
+
+    Inside a fence only its own mark counts. A closer takes everything above its opener with it and is ignored without
+    one. Straight quotes open after a space or an opener and close elsewhere; they end with their paragraph. A list
+    whose last item is only its marker stays open.
+    """
     stack: list[str] = []
-    for i, c in enumerate(text):
-        if c == "<" and (tag := _ELEMENT.match(text, i)):
-            name = "<" + tag[2].lower()
-            if not tag[1]:
-                stack.append(name)
-            elif name in stack:
-                while stack.pop() != name:
-                    pass
-        elif c in _OPENERS:
-            stack.append(c)
-        elif c in _CLOSERS:
-            if _MATES[c] in stack:
-                while stack.pop() != _MATES[c]:
-                    pass
-        elif c == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
-                    pass
-            else:
-                stack.append('"')
-        elif c == "\n" and stack and stack[-1] == '"':
-            stack.pop()  # a straight quote does not span paragraphs: it was an inch mark or a slip
-    if len(_FENCE.findall(text)) % 2:
-        stack.append("```")
-    before, _, last = text.rstrip().rpartition("\n")
-    if _LIST_ITEM.match(last) and _LISTED.search(before):
-        stack.append("•")
+
+    def close(opener: str) -> None:
+        if opener in stack:
+            while stack.pop() != opener:
+                pass
+
+    listed, offset = False, 0
+    for line in text.split("\n"):
+        begin, offset = offset, offset + len(line) + 1
+        fence = _FENCE.match(line)
+        if stack and stack[-1] in _FENCES:
+            if fence and fence[1] == stack[-1]:
+                stack.pop()
+            continue
+        if fence:
+            stack.append(fence[1])
+            continue
+        if "•" in stack:
+            stack.remove("•")
+        if _LIST_ITEM.match(line) and listed:
+            stack.append("•")
+        listed = listed or bool(_LISTED.match(line))
+        for i, c in enumerate(line, begin):
+            if c == "<" and (tag := _ELEMENT.match(text, i)):
+                name = "<" + tag[2].lower()
+                if tag[1]:
+                    close(name)
+                elif not tag[0].endswith("/>"):
+                    stack.append(name)
+            elif c in _OPENERS:
+                stack.append(c)
+            elif c in _CLOSERS:
+                close(_MATES[c])
+            elif c in "\"'":
+                before, after = text[i - 1 : i] if i > begin else " ", text[i + 1 : i + 2]
+                opens = (before.isspace() or before in _OPENERS or before in "\"'") and after.isalnum()
+                if c == "'" and (before.isalnum() and after.isalnum() or opens and (after.isdigit() or _ELISION.match(text, i))):
+                    continue
+                if opens and c not in stack:
+                    stack.append(c)
+                else:
+                    close(c)
+        if offset <= len(text):
+            stack = [x for x in stack if x not in _STRAIGHT]
     return stack
 
 

@@ -1,8 +1,12 @@
-"""Language of short texts by their function words and letters."""
+"""Language of short texts: scripts, character trigrams, and function words where a text is too short for them."""
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+from collections import Counter
+from functools import cache
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -54,10 +58,90 @@ def foreign(question: str, answer: str) -> bool:
     return bool(asked) and all(map(beaten, asked))
 
 
+@cache
+def _script(c: str) -> str:
+    """A letter's script: the first word of its name; the kana are one."""
+    name = unicodedata.name(c, "").split(" ", 1)[0].split("-")[0]
+    return {"HIRAGANA": "KANA", "KATAKANA": "KANA", "HALFWIDTH": "KANA", "FULLWIDTH": "LATIN", "FEMININE": "LATIN", "MASCULINE": "LATIN"}.get(name, name)
+
+
 def script_of(text: str) -> str | None:
-    """'latin', 'other' or None by the majority of the letters."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
+    """The script of most letters (LATIN, CYRILLIC, CJK, ...), None without letters. CJK with some kana is KANA."""
+    counts = Counter(map(_script, filter(str.isalpha, text)))
+    if not counts:
         return None
-    latin = sum(c < "ɐ" or "Ḁ" <= c < "ἀ" or "Ａ" <= c <= "ｚ" for c in letters)
-    return "latin" if 2 * latin >= len(letters) else "other"
+    most = max(counts, key=lambda k: (counts[k], k))
+    return "KANA" if most == "CJK" and 10 * counts["KANA"] >= counts["CJK"] + counts["KANA"] else most
+
+
+def other_script(question: str, answer: str) -> bool:
+    """Whether the answer is in another script than the question; CJK alone may answer a Japanese question."""
+    asked, said = script_of(question), script_of(answer)
+    return bool(asked and said and asked != said and (asked, said) != ("KANA", "CJK"))
+
+
+# Our own sample sentences, from which the trigram profiles are made together with the function words.
+SAMPLES = {
+    "en": "the old house near the river was built by a family of traders who came from the coast. they sold cloth and salt for many years until the harbour was closed. today it is a small museum that shows how people lived and worked at that time. visitors can walk through the rooms and read what the owners wrote in their letters.",
+    "fr": "la vieille maison près de la rivière fut construite par une famille de marchands venue de la côte. ils vendaient du drap et du sel pendant de longues années, jusqu'à la fermeture du port. aujourd'hui c'est un petit musée qui montre comment les gens vivaient et travaillaient à cette époque. les visiteurs peuvent parcourir les chambres et lire ce que les propriétaires écrivaient dans leurs lettres.",
+    "de": "das alte haus am fluss wurde von einer familie von händlern gebaut, die von der küste kam. sie verkauften viele jahre lang tuch und salz, bis der hafen geschlossen wurde. heute ist es ein kleines museum, das zeigt, wie die menschen damals lebten und arbeiteten. besucher können durch die zimmer gehen und lesen, was die besitzer in ihren briefen schrieben.",
+    "es": "la vieja casa junto al río fue construida por una familia de comerciantes que vino de la costa. vendieron tela y sal durante muchos años hasta que se cerró el puerto. hoy es un pequeño museo que muestra cómo vivía y trabajaba la gente en aquella época. los visitantes pueden recorrer las habitaciones y leer lo que los dueños escribían en sus cartas.",
+    "it": "la vecchia casa vicino al fiume fu costruita da una famiglia di mercanti venuta dalla costa. vendettero stoffa e sale per molti anni, finché il porto fu chiuso. oggi è un piccolo museo che mostra come la gente viveva e lavorava in quel tempo. i visitatori possono girare per le stanze e leggere quello che i proprietari scrivevano nelle loro lettere.",
+    "pt": "a velha casa junto ao rio foi construída por uma família de comerciantes que veio da costa. venderam pano e sal durante muitos anos, até que o porto foi fechado. hoje é um pequeno museu que mostra como as pessoas viviam e trabalhavam naquela época. os visitantes podem andar pelos quartos e ler o que os donos escreviam nas suas cartas.",
+    "nl": "het oude huis aan de rivier werd gebouwd door een familie van handelaren die van de kust kwam. ze verkochten jarenlang laken en zout, tot de haven werd gesloten. nu is het een klein museum dat laat zien hoe de mensen toen leefden en werkten. bezoekers kunnen door de kamers lopen en lezen wat de eigenaren in hun brieven schreven.",
+    "pl": "stary dom nad rzeką został zbudowany przez rodzinę kupców, która przyszła z wybrzeża. przez wiele lat sprzedawali sukno i sól, aż port został zamknięty. dziś jest to małe muzeum, które pokazuje, jak ludzie żyli i pracowali w tamtym czasie. zwiedzający mogą przejść przez pokoje i przeczytać, co właściciele pisali w swoich listach. położony jest w pobliżu stolicy i należy do miasta.",
+    "cs": "starý dům u řeky postavila rodina obchodníků, která přišla z pobřeží. mnoho let prodávali sukno a sůl, dokud nebyl přístav uzavřen. dnes je to malé muzeum, které ukazuje, jak lidé v té době žili a pracovali. návštěvníci mohou projít pokoji a číst, co majitelé psali ve svých dopisech. leží v blízkosti hlavního města.",
+    "sv": "det gamla huset vid floden byggdes av en familj av köpmän som kom från kusten. de sålde tyg och salt i många år tills hamnen stängdes. idag är det ett litet museum som visar hur människor levde och arbetade på den tiden. besökare kan gå genom rummen och läsa vad ägarna skrev i sina brev. det ligger nära huvudstaden.",
+    "da": "det gamle hus ved floden blev bygget af en familie af købmænd, som kom fra kysten. de solgte klæde og salt i mange år, indtil havnen blev lukket. i dag er det et lille museum, der viser, hvordan folk levede og arbejdede på den tid. besøgende kan gå gennem værelserne og læse, hvad ejerne skrev i deres breve.",
+    "ro": "casa veche de lângă râu a fost construită de o familie de negustori care a venit de pe coastă. au vândut pânză și sare mulți ani, până când portul a fost închis. astăzi este un mic muzeu care arată cum trăiau și munceau oamenii în acea vreme. vizitatorii pot merge prin camere și pot citi ce scriau proprietarii în scrisorile lor.",
+    "tr": "nehrin yanındaki eski ev, kıyıdan gelen bir tüccar ailesi tarafından yapıldı. liman kapanana kadar uzun yıllar kumaş ve tuz sattılar. bugün insanların o zamanlar nasıl yaşadığını ve çalıştığını gösteren küçük bir müzedir. ziyaretçiler odaları gezebilir ve sahiplerinin mektuplarında yazdıklarını okuyabilir. başkente yakın bir yerde bulunur.",
+    "hu": "a folyó melletti régi házat egy kereskedőcsalád építette, amely a partról érkezett. sok éven át posztót és sót árultak, amíg a kikötőt be nem zárták. ma egy kis múzeum, amely megmutatja, hogyan éltek és dolgoztak az emberek abban az időben. a látogatók végigjárhatják a szobákat, és elolvashatják, mit írtak a tulajdonosok a leveleikben.",
+    "fi": "vanhan talon joen rannalla rakensi kauppiasperhe, joka tuli rannikolta. he myivät kangasta ja suolaa monta vuotta, kunnes satama suljettiin. nykyään se on pieni museo, joka näyttää, miten ihmiset elivät ja työskentelivät siihen aikaan. kävijät voivat kulkea huoneiden läpi ja lukea, mitä omistajat kirjoittivat kirjeissään. se sijaitsee lähellä pääkaupunkia.",
+}
+LANGUAGES = tuple(SAMPLES)
+#: Small words a text needs for its trigrams to count, and by how much (nats a trigram, times the root of their number) another language must be likelier.
+LEAST_WORDS, MARGIN = 4, 3.2
+# Letters beyond a to z that words in small letters may hold, loan words included.
+ALPHABETS = {"en": "éèêëïîôöüàâçñæœ", "fr": "àâäæçéèêëîïôöœùûüÿñ", "de": "äöüßéèàçâê", "es": "áéíóúüñç"}
+
+
+def _trigrams(words: list[str]) -> list[str]:
+    return [x[i : i + 3] for w in words for x in (f" {w} ",) for i in range(len(x) - 2)]
+
+
+@cache
+def _profiles() -> dict[str, tuple[float, ...]]:
+    """Log-likelihood of each known trigram in each language, all profiles scaled to one size; '' is for unknown ones."""
+    counts = []
+    for k in LANGUAGES:
+        c = Counter(_trigrams(_WORD.findall(SAMPLES[k])))
+        if k in FUNCTION_WORDS:
+            c.update(_trigrams(FUNCTION_WORDS[k].split()))
+        scale = 1000 / c.total()
+        counts.append({t: n * scale for t, n in c.items()})
+    rest = 0.2
+    total = math.log(1000 + rest * 5000)
+    return {t: tuple(math.log(c.get(t, 0) + rest) - total for c in counts) for t in {"", *(t for c in counts for t in c)}}
+
+
+def likelihoods(text: str) -> tuple[dict[str, float], int]:
+    """Mean log-likelihood of the trigrams of the words in small letters, by language, and their number; fewer than LEAST_WORDS words give none."""
+    small = [w for w in _WORD.findall(text) if w.islower()]
+    if len(small) < LEAST_WORDS:
+        return {}, 0
+    known = _profiles()
+    rows = [known.get(t, known[""]) for t in _trigrams(small)]
+    return dict(zip(LANGUAGES, (sum(x) / len(rows) for x in zip(*rows)))), len(rows)
+
+
+def other_profile(question: str, answer: str) -> bool:
+    """Whether the answer's trigrams are likelier in another language than in any the question may be in, or two of its words need letters that these languages lack."""
+    asked = [k for k in languages(question) if k in SAMPLES]
+    if not asked:
+        return False
+    if all(k in ALPHABETS for k in asked):
+        own = set("abcdefghijklmnopqrstuvwxyz").union(*(ALPHABETS[k] for k in asked))
+        if len({w for w in _WORD.findall(answer) if w.islower() and not own.issuperset(w)}) >= 2:
+            return True
+    score, n = likelihoods(answer)
+    return n > 0 and max(score.values()) > max(score[k] for k in asked) + MARGIN / math.sqrt(n)

@@ -63,6 +63,33 @@ def test_defects(q, a, want):
     assert defect(q, a) == want
 
 
+ADVICE = " You could try the city's website, or ask a librarian near you, who may be able to point you to a printed guide; please also consult other sources before you decide anything that matters."
+FRANCE = "What is the capital of France?"
+
+
+@pytest.mark.parametrize("q, a, want", [
+    (FRANCE, "What is capital of France?", "copies_question"), (FRANCE, "What's the capital of France", "copies_question"), (FRANCE, "The question was: What is the capital of France", "copies_question"), (FRANCE, "The capital of France is Paris.", None),
+    ("Is Paris the capital of France?", "Paris is the capital of France.", None), ("Did the Harbour Museum open in 1990?", "The Harbour Museum opened in 1990.", None), (FRANCE, FRANCE + " " + "It is Paris. " * 40, None), (FRANCE, "W" * 100_000, None),
+    (FRANCE, "I'm sorry, but I cannot answer that." + ADVICE, "refusal"), (FRANCE, "As an AI language model, this question falls outside what I do.", "refusal"), (FRANCE, "Thank you for the question. I looked at it with care. Sadly I cannot answer that.", "refusal"),
+    (FRANCE, "It is Paris. I cannot comment on the rest.", None), (FRANCE, "I cannot say for sure, but it was Paris.", None), (FRANCE, "I can't help with that. The capital is Paris, and it has been since 987.", None), ("Wer plante X?", "Das kann ich leider nicht sagen. Der Bau wurde von Ana Bel geplant.", None),
+    ("Какая столица Франции?", "法国的首都是巴黎。", "other_language"), ("フランスの首都はどこですか", "巴黎", None), (FRANCE, "Stolicą Francji jest Paryż, położony nad Sekwaną i należący do największych miast.", "other_language"), (FRANCE, "başkent nehrin yanında bulunan eski bir kent olarak bilinir.", "other_language"), (FRANCE, "Maps, stamps, coins, letters, drawings and prints.", None), (FRANCE, "paris, london, rome, berlin", None),
+    (FRANCE, "<div><b>Paris is the capital.", "truncated"), (FRANCE, "'Paris is the capital.", "truncated"), (FRANCE, '"Paris is the capital.', "truncated"), (FRANCE, "The traders' house, 'tis said, stood in the '90s.", None), (FRANCE, "It is 'Paris' (\"the city\").", None), (FRANCE, "```\nprint('(')\n```\nDone.", None), (FRANCE, "```\nParis.", "truncated"), (FRANCE, "- Paris.\n-", "truncated"), (FRANCE, "A <br/> line.", None),
+])
+def test_whole_answers_are_judged(q, a, want):
+    assert defect(q, a) == want
+
+
+def test_profiles_on_held_out_sentences():
+    """Sentences that are in no profile: each is told from the other languages, and from its own it is not."""
+    held_out = {
+        "en": "every summer the members of the club row across the lake to remember their founder", "fr": "chaque été les membres du club traversent le lac à la rame pour se souvenir de leur fondateur", "de": "jeden sommer rudern die mitglieder des vereins über den see und erinnern an ihren gründer", "es": "cada verano los miembros del club cruzan el lago a remo para recordar a su fundador",
+        "it": "ogni estate i soci del circolo attraversano il lago a remi per ricordare il loro fondatore", "pt": "todos os verões os membros do clube atravessam o lago a remo para lembrar o seu fundador", "nl": "elke zomer roeien de leden van de club over het meer om hun oprichter te gedenken", "pl": "każdego lata członkowie klubu przepływają jezioro, aby uczcić pamięć założyciela", "sv": "varje sommar ror klubbens medlemmar över sjön för att minnas sin grundare",
+    }
+    questions = {"en": "Who was the founder of the club?", "fr": "Qui est le fondateur du club ?", "de": "Wer ist der Gründer des Vereins?", "es": "¿Quién es el fundador del club?"}
+    wrong = [(a, b) for a, q in questions.items() for b, said in held_out.items() if (defect(q, said + ".") == "other_language") != (a != b)]
+    assert wrong == []
+
+
 def test_pairs_operator(spark):
     df = spark.createDataFrame([(1, "Who?", None, "Ana"), (2, "", None, None), (3, None, "", ""), (4, "Who?", "Ａna​", "x" * 300_000), (1, "Who?", None, "Ana")], "id long, q string, a string, b string").withColumn("row_id", F.lit("clash"))
     assert sorted(tuple(r) for r in broken_pairs(df, "id", "q", ["a", "b"]).collect()) == [(1, "a", "empty"), (1, "a", "empty")]
