@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.broken_pairs import broken_pairs
 from factloom.llm.consistent_text import consistent_text
-from factloom.llm.copies import collapse_copies, copy_groups
+from factloom.llm.copies import collapse_copies, copy_groups, hash_report
 from factloom.llm.cut_texts import CutTexts
 from factloom.llm.encoding import encode_corpus
 from factloom.llm.leaks import leak_report, leaked_passages
@@ -60,6 +60,10 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_copies(_table(spark, sf_dir, "example_dataset"), "id", "question", "factoid").withColumnRenamed("first", "id")
 
 
+def p3_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_report(_table(spark, sf_dir, "example_dataset"), "id", "question", "factoid")
+
+
 def _sample(spark: SparkSession, sf_dir: str) -> TargetSample:
     return TargetSample(_table(spark, sf_dir, "example_dataset"), _table(spark, sf_dir, "sampling_target"), "id", LABELS)
 
@@ -117,5 +121,5 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (p1_found, p1_groups, p2_found, p2_forms, p3_found, p3_records, p4_found, p4_report, p4_shortfall, p4_sample, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_report, p8_limits)
+    all_of = (p1_found, p1_groups, p2_found, p2_forms, p3_found, p3_records, p3_hashes, p4_found, p4_report, p4_shortfall, p4_sample, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_report, p8_limits)
     return {f.__name__: f for f in all_of}

@@ -113,6 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_groups": _GROUPS + "select row_id, group_id from c",
         "p3_found": _COPIES + "select g as id_a, id as id_b from c where g <> id",
         "p3_records": _COPIES + "select g as id, count(*) as copies from c group by g",
+        "p3_hashes": _COPIES + "select count(*) as rows, count(distinct least(q1, f1) || '|' || greatest(q1, f1)) as keys, cast(0 as bigint) as collisions from u",
         "p4_found": _CELLS + "select plan_id, cell_id from n where available < wanted or available < min_rows",
         "p4_report": _CELLS + "select plan_id, cell_id, available, wanted, available < wanted or available < min_rows as unmet from n",
         "p4_sample": _SAMPLE + "select plan_id, cell_id, id, rank, is_floor, round(priority, 6) as priority from k",

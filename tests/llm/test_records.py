@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm.copies import collapse_copies, copy_groups
+from factloom.llm.copies import collapse_copies, copy_groups, hash_report
 from factloom.llm.target_sample import TargetSample, seats
 
 
@@ -60,6 +60,21 @@ def test_a_third_of_all_rows_is_one_record(spark):
     assert collapse_copies(df, "id", "q", "f").agg(F.max("copies")).first()[0] == 1000
 
 
+def test_characters_of_copies(spark):
+    """One record whatever form an accent, a joined letter or a separator has; vowel signs tell records apart."""
+    rows = [(1, "caf\u00e9", "f"), (2, "cafe\u0301", "f"), (3, "\ufb01le", "f"), (4, "file", "f"), (5, "q", "\uff41; b"), (6, "q", "b\uff1b a"), (7, "\u0915\u093f", "f"), (8, "\u0915\u0940", "f"), (9, "x\u200by", "f"), (10, "XY", "f")]
+    df = spark.createDataFrame(rows, "id long, q string, f string")
+    assert {(r.row, r.first) for r in copy_groups(df, "id", "q", "f").collect() if r.row != r.first} == {(2, 1), (4, 3), (6, 5), (10, 9)}
+
+
+def test_colliding_hashes_are_counted_and_merge_nothing(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "A", "b"), (3, "c", "d"), (4, None, "d")], "id long, q string, f string")
+    bad = lambda pair: F.lit("00")
+    assert tuple(hash_report(df, "id", "q", "f").first()) == (3, 2, 0) and tuple(hash_report(df, "id", "q", "f", digest=bad).first()) == (3, 1, 1)
+    assert {(r.row, r.first) for r in copy_groups(df, "id", "q", "f", digest=bad).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert tuple(hash_report(df.where("false"), "id", "q", "f").first()) == (0, 0, 0)
+
+
 def dealt(have, share, floor, room):
     """Seats by sorting every record: floors first, then priorities."""
     records = [(rank > floor[c], (rank - 0.5) / share[c] if share[c] > 0 else float("inf"), c, rank) for c in range(len(have)) for rank in range(1, have[c] + 1) if rank <= floor[c] or share[c] > 0]

@@ -37,6 +37,30 @@ def test_forms_are_stable_and_composed(values):
         assert v is None or not (set(v) & set(" ​ﬁＡ１")) and unicodedata.normalize("NFC", v) == v
 
 
+MARKS = "".join(map(chr, [*range(0x300, 0x34F), *range(0x350, 0x370), 0x5AE, 0x93C, 0x94D, 0x9BE, 0xDCA, 0xDCF, 0x3099]))
+CANONICAL = st.text(alphabet=st.one_of(st.sampled_from("aeouAqñệÅǰ"), st.sampled_from(MARKS), st.sampled_from("\u212b\u212a\uf900\u1112\u1161\u11ab한하\u11a8か\u0dd9\u09c7क\u0958")), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(CANONICAL, CANONICAL, st.randoms())
+def test_canonically_equal_texts_have_one_form(a, b, r):
+    """Marks of several classes in any order: equal under NFC is equal in form, the form stays, and it is equal to the text."""
+    nfc, nfd = unicodedata.normalize("NFC", a), unicodedata.normalize("NFD", a)
+    form = consistent_array(pa.array([a, nfd, nfc, a + "x" + b, nfc + "x" + unicodedata.normalize("NFD", b)]))[0].to_pylist()
+    assert form[0] == form[1] == form[2] and form[3] == form[4]
+    assert unicodedata.normalize("NFC", form[0]) == nfc and len(form[0]) == len(nfc)
+    again, changed = consistent_array(pa.array(form))
+    assert again.to_pylist() == form and not changed.any()
+
+
+def test_more_forms():
+    pairs = {"ｶﾞｯ": "ガッ", "noёl": "noël", "ᏢᎪx": "PAx", "ɡold": "gold", "a\u0302\u0323": "\u1ead", "a\u0323\u0302": "\u1ead", "\u00e2\u0323": "\u1ead", "\u212b\u212a\u2126\uf900": "\u00c5K\u03a9\u8c48", "\u1112\u1161\u11ab": "\ud55c"}
+    same = ["соре", "ёлка", "З 3", "\u1ead"]
+    form, changed = consistent_array(pa.array([*pairs, *same, "a" + "\u0323\u0302" * 20_000]))
+    assert form.to_pylist()[:-1] == [*pairs.values(), *same] and changed.tolist()[:-1] == [True] * len(pairs) + [False] * len(same)
+    assert unicodedata.normalize("NFC", form.to_pylist()[-1]) == unicodedata.normalize("NFC", "a" + "\u0323\u0302" * 20_000)
+
+
 def test_sliced_arrays_and_null_chunks():
     a = pa.array(["skip", "Ａ", None, "b​"]).slice(1)
     assert consistent_array(a)[0].to_pylist() == ["A", None, "b"]
