@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.encoding import PATTERN, VOCABULARY, encode_corpus, merge, read_ranks
 from factloom.llm.leaks import leak_report, leaked_passages
+from factloom.llm.tiling import greedy_tiles
 from factloom.llm.transducer import Transducer, build
 from factloom.llm.words import words
 
@@ -110,3 +112,35 @@ def test_short_pieces_are_found_by_their_coverage(spark):
     df, q = spark.createDataFrame([(1, doc), (2, " ".join(p[:8]))], "id long, t string"), spark.createDataFrame([(7, " ".join(p))], "i long, p string")
     assert leaked_passages(df, "id", "t", q, "i", "p").count() == 0
     assert [(r.doc_id, r.longest, r.tiles, r.coverage) for r in leaked_passages(df, "id", "t", q, "i", "p", coverage=0.5).collect()] == [(1, 8, 5, 1.0)]
+
+
+def tiled_leaks(docs, items, run, piece, share):
+    out = set()
+    for (d, t), (i, p) in itertools.product(docs, items):
+        a, b = words(p), words(t)
+        tiles = greedy_tiles(a, b, piece)
+        if a and (max((x[2] for x in tiles), default=0) >= run or sum(x[2] for x in tiles) >= share * len(a) - 1e-9):
+            out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("chars", [10**6, 10])
+def test_both_ways_find_the_same_reordered_passages(spark, chars):
+    """Against all pairs: passages with a common opening, cut in pieces and shuffled, by broadcast and by shuffle join."""
+    r = random.Random(8)
+    opening = [f"o{i}" for i in range(9)]
+    items = [(i, " ".join(opening + [f"v{r.randrange(60)}" for _ in range(r.choice([3, 20, 31]))])) for i in range(15)]
+    items.append((20, " ".join(opening[:5] * 8)))
+    docs = []
+    for d in range(60):
+        p = words(r.choice(items)[1])
+        size = r.choice([4, 5, 6, 10, 13])
+        pieces = [p[i : i + size] for i in range(0, len(p), size)]
+        r.shuffle(pieces)
+        docs.append((d, " ".join(w for piece in pieces[: r.randint(1, len(pieces))] for w in [*piece, "mid"]) + " " + " ".join(opening[: r.randrange(9)])))
+    df, q = spark.createDataFrame(docs, "id long, t string").repartition(4), spark.createDataFrame(items + items[:1] + [(99, None), (98, "")], "i long, p string")
+    got = leaked_passages(df, "id", "t", q, "i", "p", coverage=0.6, block_chars=chars).collect()
+    want = tiled_leaks(docs, items, 12, 5, 0.6)
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) + sum(i == items[0][0] for _, i in want)
+    assert {(x.doc_id, x.item_id) for x in leaked_passages(df, "id", "t", q, "i", "p", block_chars=chars).collect()} == brute(docs, items, 12)
+    assert leaked_passages(df, "id", "t", q.where("false"), "i", "p", 12, 5, 0, 0.5).count() == 0 and leaked_passages(df.where("false"), "id", "t", q, "i", "p", 12, 5, 0, 0.5).count() == 0
