@@ -33,6 +33,25 @@ class _Rule:
     def seed(self) -> int:
         return self.run if self.coverage is None else min(self.piece, self.run)
 
+    def possible(self, pair: np.ndarray, position: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Which pairs may be leaks, from the positions in the passage of the seeds they share, sorted by pair and position.
+
+        Tiles cover no more words than these seeds do, and a tile of `run` words has its seeds in a row. words: the
+        passage's length, for each entry.
+        """
+        if not len(pair):
+            return pair
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        gap = np.where(new, self.seed, np.minimum(np.r_[0, np.diff(position)], self.seed))
+        begins = np.flatnonzero(new)
+        enough = np.zeros(len(begins), bool)
+        if self.coverage is not None:
+            enough = np.add.reduceat(gap, begins) >= self.coverage * words[begins] - 1e-9
+        row = np.flatnonzero(new | np.r_[True, np.diff(position) != 1])
+        length = np.diff(np.r_[row, len(pair)])
+        enough |= np.maximum.reduceat(np.repeat(length, length), begins) >= self.run - self.seed + 1
+        return pair[begins][enough]
+
     def judge(self, passage: list[str], document: list[str]) -> tuple[int, int, int, float] | None:
         tiles = greedy_tiles(passage, document, min(self.piece, self.run))
         longest, tiled = max((t[2] for t in tiles), default=0), sum(t[2] for t in tiles)
@@ -49,8 +68,11 @@ class _Items:
         self.words = [words(r[1]) for r in rows]
         flat, starts = hashed(self.words, WordHashes())
         seeds, owner = run_hashes(flat, starts, run)
+        self.length = np.diff(starts)
+        runs = np.maximum(self.length - run + 1, 0)
+        position = np.arange(len(seeds)) - np.repeat(np.cumsum(runs) - runs, runs)
         order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
+        self.seeds, self.owner, self.position = seeds[order], owner[order], position[order]
 
 
 def _leaks(rows: list[tuple]) -> pa.RecordBatch:
@@ -67,10 +89,13 @@ def _scan(shared: object, rule: _Rule) -> Callable[[Iterator[pa.RecordBatch]], I
             flat, starts = hashed(lists, known)
             seeds, doc = run_hashes(flat, starts, rule.seed)
             first, last = np.searchsorted(items.seeds, seeds, "left"), np.searchsorted(items.seeds, seeds, "right")
-            hit = np.flatnonzero(last > first)
-            pairs = {(int(doc[i]), int(o)) for i in hit for o in np.unique(items.owner[first[i] : last[i]])}
+            met = last - first
+            at = np.repeat(first, met) + np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met)
+            shared_by = np.unique(np.stack([np.repeat(doc, met) * len(items.ids) + items.owner[at], items.position[at]]), axis=1)
+            pairs = rule.possible(*shared_by, items.length[shared_by[0] % max(1, len(items.ids))])
             keys = batch.column(0).to_pylist()
-            rows = [(keys[d], items.ids[o], *leak) for d, o in sorted(pairs) if (leak := rule.judge(items.words[o], lists[d]))]
+            pairs = [divmod(x, len(items.ids)) for x in pairs.tolist()]
+            rows = [(keys[d], items.ids[o], *leak) for d, o in pairs if (leak := rule.judge(items.words[o], lists[d]))]
             if rows:
                 yield _leaks(rows)
 
@@ -99,8 +124,13 @@ def _tile(rule: _Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(*(batch.column(i).to_pylist() for i in range(4)))
-            rows = [(d, i, *leak) for d, i, t, p in pairs if (leak := rule.judge(words(p), words(t)))]
+            rows = []
+            for d, i, t, p in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                document, asked = words(t), words(p)
+                there = set(zip(*(document[i:] for i in range(rule.seed))))
+                shared = np.array([n for n, x in enumerate(zip(*(asked[i:] for i in range(rule.seed)))) if x in there], np.int64)
+                if len(rule.possible(np.zeros_like(shared), shared, np.full_like(shared, len(asked)))) and (leak := rule.judge(asked, document)):
+                    rows.append((d, i, *leak))
             if rows:
                 yield _leaks(rows)
 
