@@ -1,12 +1,12 @@
-"""Near-duplicate rows: covering masks over word-run sets, exact verification, groups.
-
-A row's set of word runs is a sparse bit vector over all runs. Two rows within the radius that the similarity t allows,
-|A \\ B| <= |A| - t|A|, agree on at least one of the first |A| - ceil(t|A|) + 1 set bits of either, in any fixed order
-of the bits (pigeonhole). Each row is therefore filed under one mask per such bit: every pair within the radius
-collides in some table, none is lost by chance. The order puts bits of rare words first, so that tables stay small;
-which words are frequent is counted over all rows. All collisions of a pair together bound what it can share, which
-discards nearly every accidental pair before a text is fetched. The textbook family of 2^(r+1) - 1 dense masks needs
-r of about 70 here and cannot be built; see the README.
+"""Near-duplicate rows: prefix filtering of word-run sets, exact verification, groups.
+
+A row's set of word runs is a sparse bit vector over all runs. The method named for this problem, covering masks, is
+not built: see the README for the figures. What is built gives the same guarantee. Two rows within the radius that the
+similarity t allows, |A \\ B| <= |A| - t|A|, agree on at least one of the first |A| - ceil(t|A|) + 1 set bits of either,
+in any fixed order of the bits (pigeonhole). Each row is filed under each of these bits: every pair within the radius
+meets in some table, none is lost by chance. The order puts runs that are rare over all rows first, so that tables stay
+small. Where two rows first meet also bounds what they can share, and all their meetings together bound it again, which
+discards nearly every accidental pair before a text is fetched.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,68 +27,121 @@ from factloom.llm.words import WordHashes, hashed, mix, run_hashes, words
 from factloom.operators.components import connected_components
 from factloom.session import cut
 
-#: A table with more rows than this is not paired off but resolved by pivots.
+#: A table is paired off if at most so many of its rows can be the smaller one of a pair; else it is resolved by pivots.
 HOT_TABLE = 96
-#: A word in this share of the rows is frequent; there are at most (words per row) / FREQUENT such words.
+#: A word in this share of the rows is frequent; there are at most 2 (words per row) / FREQUENT such words.
 FREQUENT = 0.0005
+#: A run in this share of the rows is heavy: its rows are never brought to one task.
+HEAVY = 0.001
+#: Entries that one bucket of the shuffle should hold.
+BUCKET = 1_500_000
 
+_WORD, _RUN, _WORDS, _ROWS = range(4)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
 
-    def flush() -> pa.RecordBatch:
-        known = WordHashes()
-        keys = np.fromiter((known[w] for w in seen), np.uint64, len(seen)).view(np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*seen.values()], pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
+@dataclass(frozen=True)
+class Common:
+    """What is common over all rows: sorted hashes of frequent words and heavy runs with their levels, and the totals."""
+
+    words: np.ndarray
+    word_levels: np.ndarray
+    runs: np.ndarray
+    run_levels: np.ndarray
+    n_words: int = 0
+    n_rows: int = 0
+
+
+NOTHING = Common(*[np.zeros(0, np.uint64), np.zeros(0, np.int64)] * 2)
+
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(set(words(text)))
-        if len(seen) > 400_000:
-            yield flush()
-    yield flush()
+def _count_common(k: int, frequent: float, heavy: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """text -> kind, key, n: words and runs that are common in a stretch of rows, and totals.
 
+    What is in a share s of all rows is in that share of some stretches; where it is in less than s / 2, it is left out,
+    which takes away less than half of its count. So everything in a share s of all rows comes out with s / 2 of them at
+    least, and few words leave a task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen, rows = WordHashes(), Counter(), 0
+
+        def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-def frequent_words(texts: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words in at least this share of all rows, and their level (log2 of the share's multiple).
+        def flush() -> pa.RecordBatch:
+            least = frequent * rows / 2
+            some = [(w, n) for w, n in seen.items() if n >= least]
+            seen.clear()
+            return out(_WORD, np.fromiter((known[w] for w, _ in some), np.uint64, len(some)), np.array([n for _, n in some], np.int64))
 
-    texts has one text column. All rows are counted, combined per task before the shuffle. What comes to the driver
-    is bounded by (mean words per row) / share, whatever the number of rows.
+        for batch in batches:
+            lists = [words(t) for t in batch.column(0).to_pylist()]
+            for x in lists:
+                seen.update(set(x))
+            rows += len(lists)
+            flat, starts = hashed(lists, known)
+            runs, n = np.unique(run_hashes(flat, starts, k)[0], return_counts=True)
+            often = n >= max(2, heavy * len(lists) / 2)
+            yield out(_RUN, runs[often], n[often])
+            yield out(_WORDS, np.zeros(1, np.int64), np.array([len(flat)]))
+            yield out(_ROWS, np.zeros(1, np.int64), np.array([len(lists)]))
+            if len(seen) > 400_000:
+                yield flush()
+                rows = 0
+        yield flush()
+
+    return count
+
+
+def common_parts(texts: DataFrame, k: int, frequent: float = FREQUENT, heavy: float = HEAVY) -> Common:
+    """Frequent words and heavy runs of one text column, counted over all rows and combined per task before the shuffle.
+
+    What comes to the driver is bounded by 2 (words per row) / share, whatever the number of rows. Levels are log2 of the
+    share's multiple. They decide an order and a route, never a result.
     """
-    counted = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = texts.count()
-    least = max(2, math.ceil(share * rows))
-    top = counted.where(F.col("n") >= least).toPandas()
-    keys = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    levels = 1 + np.floor(np.log2(top["n"].to_numpy() / least)).astype(np.int64)
-    return keys[order], levels[order]
+    counted = cut(texts.mapInArrow(_count_common(k, frequent, heavy), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    total = {r.kind: r.n for r in counted.where(f"kind in ({_WORDS}, {_ROWS})").collect()}
+    rows = total.get(_ROWS, 0)
+
+    def top(kind: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        least = max(2, math.ceil(share * rows / 2))
+        found = counted.where((F.col("kind") == kind) & (F.col("n") >= least)).toPandas()
+        keys = found["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], (1 + np.floor(np.log2(found["n"].to_numpy() / least)).astype(np.int64))[order]
+
+    return Common(*top(_WORD, frequent), *top(_RUN, heavy), total.get(_WORDS, 0), rows)
+
+
+def _levels(keys: np.ndarray, levels: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The level of each asked hash, 0 for those that are not common."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, levels[at], 0)
 
 
 class _Sets:
-    """The sets of a batch: distinct run hashes of each row in the common order, rare ones first."""
+    """The sets of a batch: distinct run hashes of each row in the common order: rare ones first, heavy ones last."""
 
-    def __init__(self, texts: list[str], k: int, known: WordHashes, common: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, texts: list[str], k: int, known: WordHashes, common: Common) -> None:
         lists = [words(t) for t in texts]
         n_rows = len(lists)
         flat, starts = hashed(lists, known)
-        frequent, level = common
-        at = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
-        levels = np.where(frequent[at] == flat, level[at], 0) if len(frequent) else np.zeros(len(flat), np.int64)
+        levels = _levels(common.words, common.word_levels, flat)
         runs, owner = run_hashes(flat, starts, k)
         rank = np.zeros(0, np.int64)
         if (n := len(flat) - k + 1) > 0:
             parts = [levels[i : i + n] for i in range(k)]
             row_of = np.repeat(np.arange(n_rows), np.diff(starts))
             rank = (np.minimum.reduce(parts) * 1024 + sum(parts))[row_of[:n] == row_of[k - 1 :]]
-        order = np.lexsort((runs, rank, owner))
-        runs, owner = runs[order], owner[order]
+        weight = _levels(common.runs, common.run_levels, runs)
+        order = np.lexsort((runs, rank + (weight << 40), owner))
+        runs, owner, weight = runs[order], owner[order], weight[order]
         if len(runs):
             first = np.r_[True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]
-            runs, owner = runs[first], owner[first]
-        self.runs, self.owner = runs, owner
+            runs, owner, weight = runs[first], owner[first], weight[first]
+        self.runs, self.owner, self.heavy = runs, owner, weight > 0
         self.size = np.bincount(owner, minlength=n_rows)
         begin = np.r_[0, np.cumsum(self.size)]
         self.position = np.arange(len(runs)) - begin[owner]
@@ -100,16 +154,68 @@ class _Sets:
             self.hi[i], self.lo[i] = h, ~np.uint64(h)
 
 
-def _masks(k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(mask, row, info): the masks of each row, info = size << 32 | position in the common order.
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of integers, all lowest ones first, so that the empty high ones compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _pack(masks: np.ndarray, rows: np.ndarray, sizes: np.ndarray, positions: np.ndarray) -> tuple[bytes, int]:
+    """Entries as one compressed block: masks sorted and by their differences, each row and its size once."""
+    order = np.argsort(masks)
+    masks, rows, sizes, positions = masks[order], rows[order], sizes[order], positions[order]
+    table, first, at = np.unique(rows, return_index=True, return_inverse=True)
+    parts = [np.diff(masks, prepend=masks[:1] * 0), at.astype(np.uint32), positions.astype(np.uint32), np.diff(table, prepend=0), sizes[first].astype(np.uint32)]
+    raw = np.array([len(masks), len(table)], np.int64).tobytes() + b"".join(map(_planes, parts))
+    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
+
+
+def _unpack(block: bytes, length: int) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(pa.decompress(block, length, codec="zstd", asbytes=True), np.uint8)
+    (n, m), at, out = raw[:16].view(np.int64), 16, []
+    for count, kind in ((n, np.uint64), (n, np.uint32), (n, np.uint32), (m, np.int64), (m, np.uint32)):
+        size = int(count) * np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(-1, count).T).view(kind).ravel())
+        at += size
+    masks, row, position, table, sizes = out
+    with np.errstate(over="ignore"):
+        return np.cumsum(masks, dtype=np.uint64), np.cumsum(table)[row], sizes[row].astype(np.int64), position.astype(np.int64)
+
+
+def _small(size: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a row can be the smaller one of a pair that first meets where `left` of its runs follow."""
+    return left + 1 >= np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)
 
-    Further rows have a negative info: the row's set as a mask of its own, info its 128-bit check. A set seen before in
-    the same task is not filed again; such a row is sent as a link to the first one, so that a set of a third of all
-    rows costs little more than one row a task.
+
+_ENTRY = "bucket int, block binary, length int, a long, b long, mask long, small boolean"
+
+
+def _entries(parts: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    kinds = (("bucket", pa.int32()), ("block", pa.binary()), ("length", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64()), ("small", pa.bool_()))
+    return pa.RecordBatch.from_arrays([pa.array(parts[k]).cast(t) if k in parts else pa.nulls(n, t) for k, t in kinds], names=[k for k, _ in kinds])
+
+
+def _masks(k: int, similarity: float, common: Common, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row, text -> _ENTRY: the masks of each row, packed by bucket of the mask.
+
+    (bucket, block, length): entries (mask, row, size, position in the common order). (bucket, a, b): equal sets; a set
+    seen before in the same task is not filed again but linked to its first row. (bucket, a, mask, small): a row under a
+    heavy run, spread over the buckets by row. (bucket, a, mask, -): the row's whole set as a mask, small null.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), {}
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            masks, rows, sizes, positions = map(np.concatenate, zip(*held))
+            held.clear()
+            place = ((masks >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                if len(part):
+                    block, length = _pack(masks[part], rows[part], sizes[part], positions[part])
+                    yield _entries({"bucket": pa.array(place[part[:1]]), "block": pa.array([block], pa.binary()), "length": pa.array([length], pa.int32())}, 1)
+
         for batch in batches:
             row = batch.column(0).to_numpy()
             sets = _Sets(batch.column(1).to_pylist(), k, known, common)
@@ -119,19 +225,22 @@ def _masks(k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) ->
             new = first == row
             keep = np.where(new & (sets.size > 0), sets.size - np.ceil(similarity * sets.size - 1e-9).astype(np.int64) + 1, 0)
             mine = sets.position < keep[sets.owner]
-            owner = sets.owner[mine]
+            held.append([x[mine & ~sets.heavy] for x in (sets.runs, row[sets.owner], sets.size[sets.owner], sets.position)])
+            if heavy := int((mine & sets.heavy).sum()):
+                at = mine & sets.heavy
+                owner = sets.owner[at]
+                spread = (mix(row[owner].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield _entries({"bucket": spread, "a": row[owner], "mask": sets.runs[at].view(np.int64), "small": _small(sets.size[owner], sets.size[owner] - 1 - sets.position[at], similarity)}, heavy)
             with np.errstate(over="ignore"):
-                whole = mix(sets.hi ^ mix(sets.lo)).view(np.int64)
-            check = -1 - (sets.lo >> np.uint64(2)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[sets.runs[mine].view(np.int64), whole[new], mix(row[~new].astype(np.uint64)).view(np.int64)]),
-                    pa.array(np.r_[row[owner], row[new], row[~new]]),
-                    pa.array(np.r_[sets.size[owner] << 32 | sets.position[mine], check[new], np.zeros((~new).sum(), np.int64)]),
-                    pa.array(np.r_[np.full(len(owner) + new.sum(), -1), first[~new]], mask=np.r_[np.ones(len(owner) + new.sum(), bool), np.zeros((~new).sum(), bool)]),
-                ],
-                names=["mask", "row", "info", "same"],
-            )
+                whole = mix(sets.hi ^ mix(sets.lo))[new]
+            check = (sets.lo >> np.uint64(2)).astype(np.int64)[new]
+            yield _entries({"bucket": (whole % np.uint64(buckets)).astype(np.int32), "a": row[new], "b": check, "mask": whole.view(np.int64)}, int(new.sum()))
+            if n := int((~new).sum()):
+                yield _entries({"bucket": (mix(row[~new].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), "a": row[~new], "b": first[~new]}, n)
+            if sum(len(x[0]) for x in held) > 4_000_000:
+                yield from flush()
+        if held:
+            yield from flush()
 
     return make
 
@@ -140,97 +249,94 @@ _COLLISION = "a long, b long, mask long, shared int, room int"
 
 
 def _collide(similarity: float, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by mask -> what collides in a table.
+    """Entries sorted by bucket -> what meets in a table.
 
-    (a, b, null, shared, room): a pair that sizes allow; shared collisions in this partition, room = the elements that
-    may still be common after the last one. (a, b, null, null, null): equal sets. (row, null, mask, null, null): a row of a table of
-    more than `hot` rows, which is not paired off. Tables may span batches; none is held beyond `hot` rows.
+    (a, b, null, shared, room): a pair that sizes and positions allow; shared is its meetings in this bucket, room the
+    elements that may still be common after the last one. (a, b, null, null, null): equal sets. (row, null, mask, small,
+    null): a row of a table that is not paired off; small is 1 if the row can be the smaller one of a pair. One bucket is
+    held at a time.
+
+    A pair is left out of a table where too few runs follow: so they do in all later tables, and if this is the first
+    one that the rows share they are no pair. A table none of whose rows can be the smaller one has no pair at all.
     """
 
-    def pairs_of(row: np.ndarray, info: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-        found = []
-        size, position = info >> 32, info & 0xFFFFFFFF
-        for m in np.unique(length[length > 1]):
-            at = begin[length == m][:, None] + np.arange(m)[None, :]
-            i, j = np.triu_indices(m, 1)
-            x, y = at[:, i].ravel(), at[:, j].ravel()
-            fits = (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & (row[x] != row[y])
-            x, y = x[fits], y[fits]
-            swap = row[x] > row[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            # all but the shared ones must lie behind the last collision, in both rows
-            need = np.ceil((size[x] + size[y]) * similarity / (1 + similarity) - 1e-9).astype(np.int64)
-            found.append(np.stack([row[x], row[y], need, size[x] - 1 - position[x], size[y] - 1 - position[y]]))
-        return found
+    def paired(row: np.ndarray, size: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        need = np.ceil((size[x] + size[y]) * similarity / (1 + similarity) - 1e-9).astype(np.int64)
+        fits = (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & (row[x] != row[y]) & (np.minimum(left[x], left[y]) + 1 >= need)
+        x, y, need = x[fits], y[fits], need[fits]
+        return np.stack([np.minimum(row[x], row[y]), np.maximum(row[x], row[y]), np.minimum(left[x], left[y]) - need])
 
     def gathered(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, b, need, left_a, left_b = np.concatenate(found, 1)
+        a, b, room = np.concatenate(found, 1)
         order = np.lexsort((b, a))
-        a, b, need, left_a, left_b = (x[order] for x in (a, b, need, left_a, left_b))
-        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        room = np.minimum(np.minimum.reduceat(left_a, at), np.minimum.reduceat(left_b, at)) - need[at]
-        return out(a[at], b[at], None, np.diff(np.r_[at, len(a)]), room)
+        a, b, room = a[order], b[order], room[order]
+        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        return out(a[at], b[at], None, np.diff(np.r_[at, len(a)]), np.minimum.reduceat(room, at) if len(at) else room)
 
     def out(a: np.ndarray, b: np.ndarray | None, mask: np.ndarray | None = None, shared: np.ndarray | None = None, room: np.ndarray | None = None) -> pa.RecordBatch:
         parts = [(a, pa.int64()), (b, pa.int64()), (mask, pa.int64()), (shared, pa.int32()), (room, pa.int32())]
         return pa.RecordBatch.from_arrays([pa.nulls(len(a), t) if x is None else pa.array(x).cast(t) for x, t in parts], names=["a", "b", "mask", "shared", "room"])
 
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
-        streaming: int | None = None
+    def tables(blocks: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        mask, row, size, position = map(np.concatenate, zip(*(_unpack(*b) for b in blocks)))
+        order = np.argsort(mask, kind="stable")
+        mask, row, size = mask[order], row[order], size[order]
+        left = size - 1 - position[order]
+        begin = np.flatnonzero(np.r_[True, mask[1:] != mask[:-1]])
+        length = np.diff(np.r_[begin, len(mask)])
+        small = _small(size, left, similarity)
+        most = np.add.reduceat(small.astype(np.int64), begin)
         found: list[np.ndarray] = []
-        firsts: tuple[int, dict[int, int]] = (0, {})
-
-        def equal(mask: np.ndarray, row: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
-            nonlocal firsts
-            pairs = []
-            for m, r, check in zip(mask.tolist(), row.tolist(), info.tolist()):
-                if firsts[0] != m:
-                    firsts = (m, {})
-                if (first := firsts[1].setdefault(check, r)) != r:
-                    pairs.append((first, r))
-            got = np.array(pairs, np.int64).reshape(-1, 2)
-            return out(got[:, 0], got[:, 1])
-
-        def work(mask: np.ndarray, row: np.ndarray, info: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest, streaming
-            if not len(mask):
-                return
-            if (whole := info < 0).any():
-                yield equal(mask[whole], row[whole], info[whole])
-                mask, row, info = mask[~whole], row[~whole], info[~whole]
-                if not len(mask):
-                    rest = [mask, row, info]
-                    return
-            begin = np.flatnonzero(np.r_[True, mask[1:] != mask[:-1]])
-            length = np.diff(np.r_[begin, len(mask)])
-            if not last and length[-1] <= hot and mask[-1] != streaming:  # the last table may go on in the next batch
-                rest = [x[begin[-1] :] for x in (mask, row, info)]
-                begin, length = begin[:-1], length[:-1]
-            else:
-                rest = [x[:0] for x in (mask, row, info)]
-            big = (length > hot) | (mask[begin] == streaming if streaming is not None else False)
-            for i in np.flatnonzero(big):
-                at = slice(begin[i], begin[i] + length[i])
-                yield out(row[at], None, mask[at])
-                streaming = int(mask[begin[i]])
-            found.extend(pairs_of(row, info, begin[~big], length[~big]))
-            if sum(x.shape[1] for x in found) > 1_000_000:
-                yield gathered(found)
-                found.clear()
-
-        for batch in batches:
-            same = batch.column(3)
-            if same.null_count < len(same):
-                there = pc.is_valid(same)
-                yield out(same.filter(there).to_numpy(), batch.column(1).filter(there).to_numpy())
-                batch = batch.filter(pc.invert(there))
-            new = [batch.column(i).to_numpy() for i in range(3)]
-            yield from work(*[np.concatenate([r, n]) for r, n in zip(rest, new)], False)
-        yield from work(*rest, True)
+        some = (length > 1) & (most > 0)
+        for m in np.unique(length[some & (length <= hot)]):
+            i, j = np.triu_indices(m, 1)
+            at = begin[some & (length == m)]
+            for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
+                cells = part[:, None] + np.arange(m)[None, :]
+                found.append(paired(row, size, left, cells[:, i].ravel(), cells[:, j].ravel()))
+        for t in np.flatnonzero(some & (length > hot)):
+            cells = np.arange(begin[t], begin[t] + length[t])
+            if most[t] > hot:
+                yield out(row[cells], None, mask[cells].view(np.int64), small[cells].astype(np.int64))
+                continue
+            for x in cells[small[cells]]:  # few of its rows can be the smaller one
+                y = cells[~small[cells] | (cells > x)]
+                found.append(paired(row, size, left, np.full(len(y), x), y))
         if found:
             yield gathered(found)
 
+    def bucket(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, a, b, mask, small = (batch.column(c) for c in ("block", "a", "b", "mask", "small"))
+        there = pc.is_valid(block)
+        blocks = batch.filter(there)
+        if len(blocks):
+            yield from tables(list(zip(blocks.column("block").to_pylist(), blocks.column("length").to_pylist())))
+        whole = pc.and_(pc.is_valid(mask), pc.is_valid(b))
+        if pc.any(whole).as_py():
+            row, check, key = (x.filter(whole).to_numpy() for x in (a, b, mask))
+            order = np.lexsort((row, check, key))
+            row, check, key = row[order], check[order], key[order]
+            first = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])]
+            head = row[np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))]
+            yield out(head[~first], row[~first])
+        same = pc.and_(pc.is_valid(b), pc.is_null(mask))
+        yield out(b.filter(same).to_numpy(), a.filter(same).to_numpy())
+        heavy = pc.is_valid(small)
+        yield out(a.filter(heavy).to_numpy(), None, mask.filter(heavy).to_numpy(), pc.cast(small.filter(heavy), pa.int32()).to_numpy())
+
+    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1):
+                if len(part):
+                    if held and held[0].column(0)[0].as_py() != numbers[part[0]]:
+                        yield from bucket(pa.Table.from_batches(held))
+                        held.clear()
+                    held.append(batch.slice(int(part[0]), len(part)))
+        if held:
+            yield from bucket(pa.Table.from_batches(held))
+
     return collide
 
 
@@ -269,9 +375,9 @@ def _runs(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """row, text -> row, run, size: one row for each distinct run of a text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, none = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known = WordHashes()
         for batch in batches:
-            sets = _Sets(batch.column(1).to_pylist(), k, known, none)
+            sets = _Sets(batch.column(1).to_pylist(), k, known, NOTHING)
             row = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(row[sets.owner]), pa.array(sets.runs.view(np.int64)), pa.array(sets.size[sets.owner], pa.int64())], names=["row", "run", "size"])
 
@@ -352,23 +458,21 @@ def near_duplicate_members(df: DataFrame, row_id: str, text: F.Column, k: int =
     texts of the same words. Empty input gives an empty result; other columns, whatever their names, are not read.
     """
     base = df.select(F.col(row_id).cast("long").alias("row"), text.alias("text")).where("text is not null and row is not null")
-    common = frequent_words(base.select("text"), frequent)
-    filed = base.mapInArrow(_masks(k, similarity, common), "mask long, row long, info long, same long")
-    filed = filed.repartition("mask").sortWithinPartitions("mask")
+    common = common_parts(base.select("text"), k, frequent)
+    filed_by_row = 1 - similarity + (common.n_rows + 1) / (common.n_words + 1)
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(common.n_words * filed_by_row / BUCKET))
+    filed = base.mapInArrow(_masks(k, similarity, common, buckets), _ENTRY)
+    filed = filed.repartition("bucket").sortWithinPartitions("bucket")
     found = filed.mapInArrow(_collide(similarity, hot_table), _COLLISION)
     found = cut(found.groupBy("a", "b", "mask").agg(F.sum("shared").alias("shared"), F.min("room").alias("room")))
     sure = found.where("b is not null and shared is null").select("a", "b")
-    pairs = found.where("b is not null and shared is not null")
-    likely = pairs.where("shared + room >= 0").select("a", "b")
-    hot = found.where("mask is not null").select("mask", F.col("a").alias("row"))
-    crowded = not hot.isEmpty()
-    if crowded:  # collisions in hot tables were not counted: the bound does not hold for pairs of their rows
-        rows = hot.select("row").distinct()
-        unsure = pairs.where("shared + room < 0").join(rows.withColumnRenamed("row", "a"), "a", "left_semi").join(rows.withColumnRenamed("row", "b"), "b", "left_semi")
-        likely = likely.union(unsure.select("a", "b"))
+    likely = found.where("b is not null and shared + room >= 0").select("a", "b")
     links = sure.union(_similarities(likely, base, k).where(F.col("j") >= similarity - 1e-12).select("a", "b"))
-    if crowded:
-        links = links.union(_hot_links(hot, base, k, similarity))
+    # Pairs that meet in a table not paired off are found there, so what is not counted for them here does no harm.
+    hot = found.where("mask is not null").select("mask", F.col("a").alias("row"), "shared")
+    crowded = hot.where("shared > 0").select("mask").distinct()
+    if not crowded.isEmpty():
+        links = links.union(_hot_links(hot.join(crowded, "mask", "left_semi").select("mask", "row"), base, k, similarity))
     return connected_components(links, "a", "b").select(F.col("node").alias("row"), "component")
 
 
