@@ -31,8 +31,10 @@ from factloom.session import cut
 HOT_TABLE = 96
 #: A word in this share of the rows is frequent; there are at most 2 (words per row) / FREQUENT such words.
 FREQUENT = 0.0005
-#: A run in this share of the rows is heavy: its rows are never brought to one task.
-HEAVY = 0.001
+#: A run in this share of the rows is common and comes last in the order; at most 2 (runs per row) / COMMON are.
+COMMON = 0.001
+#: A common run of at least so many rows is heavy: its rows are never brought to one task, with the same result.
+HEAVY_ROWS = 5_000
 #: Entries that one bucket of the shuffle should hold.
 BUCKET = 1_500_000
 
@@ -41,12 +43,13 @@ _WORD, _RUN, _WORDS, _ROWS = range(4)
 
 @dataclass(frozen=True)
 class Common:
-    """What is common over all rows: sorted hashes of frequent words and heavy runs with their levels, and the totals."""
+    """What is common over all rows: sorted hashes of frequent words and common runs with their levels, the level from which runs are heavy, and totals."""
 
     words: np.ndarray
     word_levels: np.ndarray
     runs: np.ndarray
     run_levels: np.ndarray
+    heavy_level: int = 1
     n_words: int = 0
     n_rows: int = 0
 
@@ -54,7 +57,7 @@ class Common:
 NOTHING = Common(*[np.zeros(0, np.uint64), np.zeros(0, np.int64)] * 2)
 
 
-def _count_common(k: int, frequent: float, heavy: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count_common(k: int, frequent: float, common: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """text -> kind, key, n: words and runs that are common in a stretch of rows, and totals.
 
     What is in a share s of all rows is in that share of some stretches; where it is in less than s / 2, it is left out,
@@ -81,7 +84,7 @@ def _count_common(k: int, frequent: float, heavy: float) -> Callable[[Iterator[p
             rows += len(lists)
             flat, starts = hashed(lists, known)
             runs, n = np.unique(run_hashes(flat, starts, k)[0], return_counts=True)
-            often = n >= max(2, heavy * len(lists) / 2)
+            often = n >= max(2, common * len(lists) / 2)
             yield out(_RUN, runs[often], n[often])
             yield out(_WORDS, np.zeros(1, np.int64), np.array([len(flat)]))
             yield out(_ROWS, np.zeros(1, np.int64), np.array([len(lists)]))
@@ -93,13 +96,13 @@ def _count_common(k: int, frequent: float, heavy: float) -> Callable[[Iterator[p
     return count
 
 
-def common_parts(texts: DataFrame, k: int, frequent: float = FREQUENT, heavy: float = HEAVY) -> Common:
-    """Frequent words and heavy runs of one text column, counted over all rows and combined per task before the shuffle.
+def common_parts(texts: DataFrame, k: int, frequent: float = FREQUENT, common: float = COMMON, heavy_rows: int = HEAVY_ROWS) -> Common:
+    """Frequent words and common runs of one text column, counted over all rows and combined per task before the shuffle.
 
     What comes to the driver is bounded by 2 (words per row) / share, whatever the number of rows. Levels are log2 of the
     share's multiple. They decide an order and a route, never a result.
     """
-    counted = cut(texts.mapInArrow(_count_common(k, frequent, heavy), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counted = cut(texts.mapInArrow(_count_common(k, frequent, common), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r.kind: r.n for r in counted.where(f"kind in ({_WORDS}, {_ROWS})").collect()}
     rows = total.get(_ROWS, 0)
 
@@ -110,7 +113,8 @@ def common_parts(texts: DataFrame, k: int, frequent: float = FREQUENT, heavy: fl
         order = np.argsort(keys)
         return keys[order], (1 + np.floor(np.log2(found["n"].to_numpy() / least)).astype(np.int64))[order]
 
-    return Common(*top(_WORD, frequent), *top(_RUN, heavy), total.get(_WORDS, 0), rows)
+    heavy_level = 1 + max(0, math.ceil(math.log2(heavy_rows / max(2, math.ceil(common * rows / 2)))))
+    return Common(*top(_WORD, frequent), *top(_RUN, common), heavy_level, total.get(_WORDS, 0), rows)
 
 
 def _levels(keys: np.ndarray, levels: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -122,7 +126,7 @@ def _levels(keys: np.ndarray, levels: np.ndarray, asked: np.ndarray) -> np.ndarr
 
 
 class _Sets:
-    """The sets of a batch: distinct run hashes of each row in the common order: rare ones first, heavy ones last."""
+    """The sets of a batch: distinct run hashes of each row in the common order: rare ones first, common ones last."""
 
     def __init__(self, texts: list[str], k: int, known: WordHashes, common: Common) -> None:
         lists = [words(t) for t in texts]
@@ -141,7 +145,7 @@ class _Sets:
         if len(runs):
             first = np.r_[True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]
             runs, owner, weight = runs[first], owner[first], weight[first]
-        self.runs, self.owner, self.heavy = runs, owner, weight > 0
+        self.runs, self.owner, self.heavy = runs, owner, weight >= common.heavy_level
         self.size = np.bincount(owner, minlength=n_rows)
         begin = np.r_[0, np.cumsum(self.size)]
         self.position = np.arange(len(runs)) - begin[owner]
@@ -450,7 +454,7 @@ def _hot_links(members: DataFrame, texts: DataFrame, k: int, similarity: float,
     return links
 
 
-def near_duplicate_members(df: DataFrame, row_id: str, text: F.Column, k: int = 5, similarity: float = 0.8, hot_table: int = HOT_TABLE, frequent: float = FREQUENT) -> DataFrame:
+def near_duplicate_members(df: DataFrame, row_id: str, text: F.Column, k: int = 5, similarity: float = 0.8, hot_table: int = HOT_TABLE, frequent: float = FREQUENT, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(row, component) for the rows that have a near duplicate; component is the smallest id of the group.
 
     row_id names a unique bigint column; text is a string expression. Rows with a null text take no part. Rows of
@@ -458,7 +462,7 @@ def near_duplicate_members(df: DataFrame, row_id: str, text: F.Column, k: int =
     texts of the same words. Empty input gives an empty result; other columns, whatever their names, are not read.
     """
     base = df.select(F.col(row_id).cast("long").alias("row"), text.alias("text")).where("text is not null and row is not null")
-    common = common_parts(base.select("text"), k, frequent)
+    common = common_parts(base.select("text"), k, frequent, heavy_rows=heavy_rows)
     filed_by_row = 1 - similarity + (common.n_rows + 1) / (common.n_words + 1)
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(common.n_words * filed_by_row / BUCKET))
     filed = base.mapInArrow(_masks(k, similarity, common, buckets), _ENTRY)

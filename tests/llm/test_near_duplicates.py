@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,61 @@ def test_a_phrase_in_unlike_rows_is_not_paired_off(spark, monkeypatch):
     links = near_duplicates._hot_links(texts.select(F.lit(1).cast("long").alias("mask"), "row"), texts, 3, 0.6)
     assert {(r.a, r.b) for r in links.where("a <> b").collect()} == {(i, 1000 + i) for i in range(140, 150)}
     assert len(compared) == 13 and compared[-1] == 10 and sum(compared) < 7 * len(rows)
+
+
+def counted_comparisons(monkeypatch):
+    counts, plain = [], near_duplicates._similarities
+
+    def counted(pairs, texts, k):
+        counts.append(pairs.count())
+        return plain(pairs, texts, k)
+
+    monkeypatch.setattr(near_duplicates, "_similarities", counted)
+    return counts
+
+
+def boilerplate(n, seed=3):
+    """Unlike rows behind one lead; one in twenty repeats an earlier row with a word changed."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        tail = [f"w{r.randrange(20_000)}" for _ in range(12)]
+        if i % 20 == 19:
+            tail = rows[r.randrange(len(rows))][1].split()[20:]
+            tail[r.randrange(12)] = f"e{i}"
+        rows.append((i, " ".join([f"lead{j}" for j in range(20)] + tail)))
+    return rows
+
+
+@pytest.mark.parametrize("heavy_rows", [near_duplicates.HEAVY_ROWS, 50])
+def test_a_lead_of_all_rows_costs_in_proportion(spark, monkeypatch, heavy_rows):
+    """1,000 rows equal to all pairs; 5,000 rows of one table compare not much more than five times as many."""
+    counts = counted_comparisons(monkeypatch)
+    total = []
+    for n in (1000, 5000):
+        rows = boilerplate(n)
+        df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+        got = {r.row: r.component for r in near_duplicate_groups(df, "id", F.col("t"), k=3, similarity=0.6, heavy_rows=heavy_rows).collect()}
+        if n == 1000:
+            assert got == brute(rows, 3, 0.6)
+        total.append(sum(counts))
+        counts.clear()
+    assert 0 < total[1] <= 5 * 1.3 * total[0] + 100 and total[1] < 5 * 5000
+
+
+@pytest.mark.parametrize("seed, k, t, hot, heavy_rows", [(7, 3, 0.6, 3, 2), (8, 2, 0.7, 96, 4)])
+def test_heavy_runs_against_all_pairs(spark, seed, k, t, hot, heavy_rows):
+    rows = corpus(seed, 120, 25)
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    got = {r.row: r.component for r in near_duplicate_groups(df, "id", F.col("t"), k=k, similarity=t, hot_table=hot, heavy_rows=heavy_rows).collect()}
+    assert got == brute(rows, k, t)
+
+
+def test_entries_survive_packing():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5000):
+        masks = r.integers(0, 2**64, n, np.uint64)
+        rows, sizes, positions = r.integers(-(2**62), 2**62, n), r.integers(1, 2**31, n), r.integers(0, 2**31, n)
+        rows[::3], sizes[::3] = rows[0], sizes[0]
+        got = near_duplicates._unpack(*near_duplicates._pack(masks, rows, sizes, positions))
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(masks.tolist(), rows.tolist(), sizes.tolist(), positions.tolist()))
