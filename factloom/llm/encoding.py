@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +90,7 @@ def _count(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(split(text))
+            seen.update(chain.from_iterable(split(t) for t in batch.column(0).to_pylist() if t))
             if len(seen) > _MEMO:
                 yield flush()
         yield flush()
@@ -126,19 +126,27 @@ def compile_lexicon(spark: SparkSession, words: list[str], ranks: dict[bytes, in
 def _encode(lexicon: str, pattern: str, shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, ranks, known = regex.compile(pattern).findall, shared.value, Transducer(SparkFiles.get(lexicon))
-        memo: dict[str, list[int]] = {}
+        number: dict[str, int] = {}  # of each word met so far; its ids stand in held, from starts[number] on
+        held, starts = array("i"), array("q", [0])
         for batch in batches:
             lists = [split(t) if t else [] for t in batch.column(1).to_pylist()]
-            if len(memo) > _MEMO:
-                memo.clear()
-            new = [*{w for x in lists for w in x} - memo.keys()]
+            if len(number) > _MEMO:
+                number.clear()
+                held, starts = array("i"), array("q", [0])
+            new = [*set(chain.from_iterable(lists)).difference(number)]
             spelled = [w.encode("utf-8", "surrogatepass") for w in new]
             for w, b, n in zip(new, spelled, known.numbers(spelled).tolist()):
-                memo[w] = known.outputs(n) if n >= 0 else merge(b, ranks)
-            ids = [[i for w in x for i in memo[w]] for x in lists]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                number[w] = len(number)
+                held.extend(known.outputs(n) if n >= 0 else merge(b, ranks))
+                starts.append(len(held))
+            pieces = np.array([len(x) for x in lists], np.int64)
+            word = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(pieces.sum()))
+            begin = np.frombuffer(starts, np.int64)
+            length = (begin[1:] - begin[:-1])[word]
+            ends = np.cumsum(length)
+            flat = np.frombuffer(held, np.int32)[np.repeat(begin[word] - (ends - length), length) + np.arange(length.sum())] if len(word) else np.zeros(0, np.int32)
+            offsets = np.r_[0, ends][np.r_[0, np.cumsum(pieces)]].astype(np.int32)
+            del begin  # a view keeps the array from growing
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "ids"])
 
     return encode
