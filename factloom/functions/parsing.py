@@ -63,3 +63,9 @@ def is_true(raw: Column) -> Column:
 def decisions(text: Column) -> Column:
     """A JSON list of verdicts; null and broken text give the empty list."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def decisions_text(verdicts: Column) -> Column:
+    """A list of verdicts as the logs have it: a JSON list with spaces; null is the empty list."""
+    quoted = F.transform(F.coalesce(verdicts, F.array().cast("array<string>")), lambda v: F.concat(F.lit('"'), v, F.lit('"')))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from factloom.functions.text import core_words, joined_documents
+from factloom.session import cut
 
 # Category names, and our own signal words; the specification gives only examples. In order of priority.
 TAXONOMY = (
@@ -29,13 +30,30 @@ def fact_type(text: Column) -> Column:
     return out.otherwise(FALLBACK)
 
 
+def positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """df with the 1-based position of each row in input order, from counts per partition; no global sort.
+
+    The partitions' offsets are a small table (one row a partition), joined back.
+    """
+    tagged = cut(df.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = tagged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_p", before.alias("_before")))  # one row a partition
+    numbered = tagged.withColumn("_p", part).join(offsets, "_p")
+    return numbered.withColumn(name, (F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).cast("long")).select(*df.columns, name)
+
+
 def map_fields(df: DataFrame, docs: str = "docs", annotations: str = "annotations") -> DataFrame:
-    """(id, question, context, right_answer) from raw samples: three documents, the first annotation's long answer."""
+    """(id, question, context, right_answer) from raw samples: three documents, the first annotation's long answer.
+
+    Samples without a question_id column get their 1-based position.
+    """
+    if "question_id" not in df.columns:
+        df = positions(df, "question_id")
     first = F.try_element_at(F.transform(annotations, lambda a: a["long_answer"]), F.lit(1))
-    position = F.row_number().over(W.orderBy(F.monotonically_increasing_id()))
-    if "question_id" in df.columns:
-        return df.select(F.col("question_id").cast("string").alias("id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce(joined_documents(F.col(docs)), F.lit("")).alias("context"), F.coalesce(first, F.lit("")).alias("right_answer"))
-    return df.select(position.cast("string").alias("id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce(joined_documents(F.col(docs)), F.lit("")).alias("context"), F.coalesce(first, F.lit("")).alias("right_answer"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return df.select(F.col("question_id").cast("string").alias("id"), empty(F.col("question")).alias("question"), empty(joined_documents(F.col(docs))).alias("context"), empty(first).alias("right_answer"))
 
 
 def lexical_coverage(df: DataFrame, answer: str, context: str) -> DataFrame:
@@ -54,15 +72,24 @@ def grounding_filter(df: DataFrame, answer: str, context: str, threshold: float
 
 
 def statement_coverage(statements: DataFrame, s_id: str, s_text: str, documents: DataFrame, d_id: str, d_text: str, threshold: float = 0.4) -> DataFrame:
-    """(s_id, d_id, matched, coverage) of statements against a whole corpus, through an equi-join on core words.
+    """(s_id, d_id, matched, coverage) of statements against a whole corpus.
 
-    Words that occur in no statement leave the corpus side before the shuffle; counts are combined per task.
+    A document that holds more than the share `threshold` of a statement's n words holds one of its n - floor(threshold
+    n) rarest ones, whatever the order. Only under these a statement meets documents, rare words first by the number of
+    documents; the pairs are then counted over all words. Words that occur in no statement leave the corpus side before
+    the shuffle, and no common word brings all documents together unless a statement has nothing rarer.
     """
-    s = statements.select(F.col(s_id).alias("s"), core_words(F.col(s_text)).alias("w")).withColumn("n", F.size("w"))
-    s = s.select("s", "n", F.explode("w").alias("w"))
-    d = documents.select(F.col(d_id).alias("d"), F.explode(core_words(F.col(d_text))).alias("w"))
-    pairs = d.join(s, "w").groupBy("s", "d").agg(F.count("*").alias("matched"), F.first("n").alias("n"))
-    out = pairs.withColumn("coverage", F.col("matched") / F.col("n")).where(F.col("coverage") > threshold)
+    s = statements.select(F.col(s_id).alias("s"), core_words(F.col(s_text)).alias("words"))
+    wanted = s.select(F.explode("words").alias("w")).distinct()
+    d = documents.select(F.col(d_id).alias("d"), F.explode(core_words(F.col(d_text))).alias("w")).join(wanted, "w", "left_semi")
+    d = cut(d)
+    order = W.partitionBy("s").orderBy(F.coalesce("df", F.lit(0)), "w")
+    ranked = s.select("s", F.size("words").alias("n"), F.explode("words").alias("w")).distinct().join(d.groupBy("w").agg(F.count("*").alias("df")), "w", "left").withColumn("rank", F.row_number().over(order))
+    probes = ranked.where(F.col("rank") <= F.col("n") - F.floor(F.lit(threshold) * F.col("n") + 1e-9)).select("s", "w")
+    pairs = d.join(probes, "w").select("s", "d").distinct()
+    held = d.join(pairs.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.collect_set("w").alias("held"))  # at most the words of one document
+    out = pairs.join(held, "d").join(s.dropDuplicates(["s"]), "s").select("s", "d", F.size(F.array_intersect("words", "held")).cast("long").alias("matched"), F.size("words").alias("n"))
+    out = out.withColumn("coverage", F.col("matched") / F.col("n")).where(F.col("coverage") > threshold)
     return out.select(F.col("s").alias(s_id), F.col("d").alias(d_id), "matched", "coverage")
 
 

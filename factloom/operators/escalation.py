@@ -44,16 +44,37 @@ def structure_aware(a: Anomalies, ratio: float = 0.4, least: int = 2) -> Column:
     return _reasons((a.paradox, "StructureAware: Logical paradox"), reached("Synonym", a.syn_count, a.syn_of, a.syn_ratio), reached("Antonym", a.ant_count, a.ant_of, a.ant_ratio))
 
 
+# The risk prior's reasons and signals, in order.
+RISKS = (
+    ("RiskPrior: Numerical/Temporal", r"\b\d+\b"),
+    ("RiskPrior: Negation", r"\b(not|never|no|none|cannot|without|lack)\b"),
+    ("RiskPrior: Scope/Comparison", r"\b(more|less|most|least|better|worse|highest|lowest|all|every|only|always)\b"),
+)
+
+
+def risk_prior(fact: Column) -> Column:
+    """The first risk whose signal a factoid has, or null."""
+    t, out = F.lower(fact), F.when(fact.isNull(), F.lit(None).cast("string"))
+    for name, signal in RISKS:
+        out = out.when(t.rlike(signal), name)
+    return out
+
+
 POLICIES: dict[str, Callable[..., Column]] = {"strict": strict, "paradox_only": paradox_only, "structure_aware": structure_aware}
 
 
-def escalation(df: DataFrame, syn: str, ant: str, policy: str = "structure_aware", ratio: float = 0.4, least: int = 2) -> DataFrame:
+def escalation(df: DataFrame, syn: str, ant: str, policy: str = "structure_aware", ratio: float = 0.4, least: int = 2, fact: str | None = None) -> DataFrame:
     """df with reasons (in order), escalated and the logged statistics.
 
-    An unknown policy name means structure_aware. The risk prior is inert: it adds no reason, risk_prior stays ''.
+    An unknown policy name means structure_aware. Without a fact column the risk prior is inert: it adds no reason and
+    risk_prior stays ''. With one, its reason comes last: always under strict, never under paradox_only, and beside
+    another reason under structure_aware.
     """
     a = Anomalies(F.col(syn), F.col(ant))
     reasons = POLICIES.get(policy, structure_aware)(a, ratio, least)
+    risk = F.lit(None).cast("string") if fact is None else risk_prior(F.col(fact))
+    if fact is not None and policy != "paradox_only":
+        reasons = F.when(F.lit(policy == "strict") | (F.size(reasons) > 0), F.array_compact(F.concat(reasons, F.array(risk)))).otherwise(reasons)
     return df.withColumns(
         {
             "reasons": reasons,
@@ -65,7 +86,7 @@ def escalation(df: DataFrame, syn: str, ant: str, policy: str = "structure_aware
             "logical_paradox": a.paradox,
             "both_yes": a.both_yes,
             "both_no": a.both_no,
-            "risk_prior": F.lit(""),
+            "risk_prior": F.coalesce(risk, F.lit("")),
         }
     )
 

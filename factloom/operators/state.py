@@ -54,9 +54,19 @@ def append_batch(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def finished(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What earlier runs wrote; an absent or unreadable table means a fresh start."""
+def finished(spark: SparkSession, path: str, schema: str, unreadable: str = "fresh") -> DataFrame:
+    """What earlier runs wrote. An absent table means a fresh start, and so does a broken one, as the original runs have it.
+
+    With unreadable="raise" a table that is there but can't be read is an error: work that appends must not take a
+    failed read for an empty table.
+    """
+    if unreadable not in ("fresh", "raise"):
+        raise ValueError(f"unreadable must be 'fresh' or 'raise', not {unreadable!r}")
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     try:
-        return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-    except Exception:  # noqa: BLE001 - an unreadable table is a fresh start by definition
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - asked for above
+        if unreadable == "raise":
+            raise
         return spark.createDataFrame([], schema)

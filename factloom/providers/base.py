@@ -11,11 +11,11 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import STOP_WORDS
@@ -146,16 +146,54 @@ class LocalServerProvider(ChatProvider):
     """A local model server's chat endpoint, without streaming; token counts come under its own names."""
 
     num_predict: int = 100
-    num_ctx: int = 8192
+    num_ctx: int | None = 8192
+    think: bool | None = None
     name: str = "local"
 
     def body(self, r: Request) -> dict[str, object]:
-        return {"model": self.model, "stream": False, "messages": [{"role": "system", "content": r.system}, {"role": "user", "content": r.prompt}], "options": {"temperature": self.temperature, "num_predict": self.num_predict, "num_ctx": self.num_ctx, **self.options}}
+        options = {"temperature": self.temperature, "num_predict": self.num_predict, **({} if self.num_ctx is None else {"num_ctx": self.num_ctx}), **self.options}
+        top = {} if self.think is None else {"think": self.think}
+        return {"model": self.model, "stream": False, "messages": [{"role": "system", "content": r.system}, {"role": "user", "content": r.prompt}], "options": options, **top}
 
     def parse(self, answer: dict) -> tuple[str, int, int]:
         return ((answer.get("message") or {}).get("content") or "").strip(), answer.get("prompt_eval_count", 0), answer.get("eval_count", 0)
 
 
+@dataclass(frozen=True)
+class Retrying:
+    """Another provider, asked again while the call fails or its reply does not match `accept`; tokens and time add up.
+
+    After `tries` calls the last reply stands.
+    """
+
+    inner: Provider
+    accept: str = ""
+    tries: int = 3
+
+    @property
+    def name(self) -> str:
+        return self.inner.name
+
+    @property
+    def on_failure(self) -> str:
+        return self.inner.on_failure
+
+    def open(self) -> Callable[[Request], Reply]:
+        call, good = self.inner.open(), re.compile(self.accept, re.I)
+
+        def retry(r: Request) -> Reply:
+            prompt = completion = 0
+            took = 0.0
+            for _ in range(max(1, self.tries)):
+                reply = call(r)
+                prompt, completion, took = prompt + reply.prompt_tokens, completion + reply.completion_tokens, took + reply.latency_s
+                if not reply.failed and good.search(reply.text):
+                    break
+            return replace(reply, prompt_tokens=prompt, completion_tokens=completion, latency_s=took)
+
+        return retry
+
+
 def _call(provider: Provider, pool: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None
@@ -171,19 +209,36 @@ def _call(provider: Provider, pool: int) -> Callable[[Iterator[pd.DataFrame]], I
     return run
 
 
-def ask(requests: DataFrame, provider: Provider, pool: int = 1, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def prompt_of(statement: Column, context: Column | None) -> Column:
+    """The user prompt of a request: the statement alone, or after its passage."""
+    return statement if context is None else F.concat(F.lit("Passage: "), context, F.lit("\nStatement: "), statement)
+
+
+def context_key(context: Column) -> Column:
+    """What stands for a passage until the call: 128 bits of it."""
+    return F.unhex(F.md5(F.coalesce(context, F.lit("")))).alias("context_key")
+
+
+def ask(requests: DataFrame, provider: Provider, pool: int = 1, keep: Callable[[DataFrame], DataFrame] = cut, contexts: DataFrame | None = None) -> DataFrame:
     """requests with text, prompt_tokens, completion_tokens, latency_s and failed.
 
-    Needs the columns phase, system, prompt, statement, context; null texts are read as ''. Equal requests are called
-    once: they are reduced to distinct keys before the calls and joined back, so tokens count per use; what was paid
-    for is the sum over distinct keys. The calls' results are written before anything reads them (keep), as a plan
-    with two readers would call twice. At most partitions x pool calls run at once.
+    Needs the columns phase, system, prompt, statement, context; null texts are read as ''. With contexts (context_key,
+    context), requests have a context_key in place of prompt and context: the passages do not travel with the requests
+    but join the distinct ones just before the call. Equal requests are called once: they are reduced to distinct keys
+    before the calls and joined back, so tokens count per use; what was paid for is the sum over distinct keys. The
+    calls' results are written before anything reads them (keep), as a plan with two readers would call twice. At most
+    partitions x pool calls run at once.
     """
-    columns = ["phase", "system", "prompt", "statement", "context"]
-    whole = requests.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
-    keyed = whole.withColumn("request_key", F.sha2(F.concat_ws("\u0001", F.lit(provider.name), *columns), 256))
+    texts = ["phase", "system", "statement"] + ([] if contexts is not None else ["prompt", "context"])
+    whole = requests.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
+    parts = [*texts, *([F.hex("context_key")] if contexts is not None else [])]
+    columns = [*texts, *(["context_key"] if contexts is not None else [])]
+    keyed = whole.withColumn("request_key", F.sha2(F.concat_ws("\u0001", F.lit(provider.name), *parts), 256))
     distinct = keyed.select("request_key", *columns).dropDuplicates(["request_key"])
-    replies = keep(distinct.mapInPandas(_call(provider, pool), REPLY))
+    if contexts is not None:
+        passages = contexts.select("context_key", F.coalesce("context", F.lit("")).alias("context")).dropDuplicates(["context_key"])
+        distinct = distinct.join(passages, "context_key", "left").na.fill("", ["context"]).withColumn("prompt", prompt_of(F.col("statement"), F.col("context")))
+    replies = keep(distinct.select("request_key", "phase", "system", "prompt", "statement", "context").mapInPandas(_call(provider, pool), REPLY))
     return keyed.join(replies, "request_key", "left").drop("request_key")
 
 

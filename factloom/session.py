@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
@@ -27,12 +28,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    A folder of our own is made only where the setting is absent (tests, one machine). The result is a URI that
-    Hadoop's file systems understand.
+    A folder of our own is made only where the setting is absent and the master is local (tests, one machine); on a
+    cluster its absence is an error, as executors don't share a local folder. The result is a URI that Hadoop's file
+    systems understand. Spark removes what is no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="factloom-shared-"))
     return named or sc.getCheckpointDir()
 

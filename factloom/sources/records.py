@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from factloom.operators.dataset import seeded_sample
+from factloom.operators.dataset import positions, seeded_sample
 from factloom.session import cut
 
 QA_SAMPLE = "id long, question string, context string, knowledge string, right_answer string, hallucinated_answer string"
 FACTOID = "id long, source_id string, fact_id string, context string, question string, factoid string, factoid_type string, context_support boolean, answer_type string, source_answer string, mutations_list struct<synonyms: array<string>, antonyms: array<string>>"
 
 
-def positions(df: DataFrame, name: str = "position") -> DataFrame:
-    """df with the 1-based position of each row in input order, from counts per partition; no global sort.
+_BROKEN = "_corrupt_record"
+
 
-    Only partition counts (one row a partition) are brought together.
+def read_json(spark: SparkSession, path: str, schema: str | StructType = QA_SAMPLE) -> DataFrame:
+    """Records of a JSON array or of JSON lines (told apart by the first character), and _corrupt_record: the text of a broken one.
+
+    Lines are split over tasks; an array is one document and is read by one task a file.
     """
-    tagged = cut(df.withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33)
-    counts = {r.p: r.n for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(total)]
-        total += counts[p]
-    offset = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
-    return tagged.withColumn(name, (offset + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_m")
-
-
-def load_json(spark: SparkSession, path: str, schema: str | StructType = QA_SAMPLE, number_ids: bool = True) -> DataFrame:
-    """Records of a JSON array or of JSON lines (told apart by the first character); absent fields are null.
-
-    A missing path raises. Broken lines are dropped; a broken array gives no rows. Missing ids become the 1-based
-    position when number_ids is set and the schema has an id.
+    kind = spark.createDataFrame([], schema).schema
+    lines = spark.read.text(path)
+    first = lines.where(F.trim("value") != "").limit(1).collect()  # one row
+    if first and first[0].value.lstrip("\ufeff \t").startswith("["):
+        whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+        parsed = whole.select("value", F.from_json(F.ltrim(F.col("value"), F.lit("\ufeff")), ArrayType(kind), {"mode": "PERMISSIVE"}).alias("r"))
+        broken = parsed.where("r is null").select(F.lit(None).cast(kind).alias("r"), F.col("value").alias(_BROKEN))
+        return parsed.select(F.explode("r").alias("r"), F.lit(None).cast("string").alias(_BROKEN)).union(broken).select("r.*", _BROKEN)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", StructType([*kind.fields, StructField(_BROKEN, StringType())]), options).alias("r"))
+    return parsed.select("r.*")
+
+
+def broken_records(spark: SparkSession, path: str, schema: str | StructType = QA_SAMPLE) -> DataFrame:
+    """(record): the lines that are no records, or a broken array as a whole; what load_json leaves out."""
+    return read_json(spark, path, schema).where(F.col(_BROKEN).isNotNull()).select(F.col(_BROKEN).alias("record"))
+
+
+def load_json(spark: SparkSession, path: str, schema: str | StructType = QA_SAMPLE, number_ids: bool = True, broken: str = "skip") -> DataFrame:
+    """Records of a JSON array or of JSON lines; absent fields are null. A missing path raises.
+
+    Broken records are skipped, and counted in a warning; broken="raise" makes them an error, broken="ignore" does not
+    look for them. Missing ids become the 1-based position when number_ids is set and the schema has an id.
     """
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()  # one row
-    array = bool(first) and first[0].value.lstrip("﻿ \t").startswith("[")
-    df = spark.read.schema(schema).option("multiLine", array).option("mode", "DROPMALFORMED").json(path)
+    if broken not in ("skip", "raise", "ignore"):
+        raise ValueError(f"broken must be 'skip', 'raise' or 'ignore', not {broken!r}")
+    if broken != "ignore" and (n := broken_records(spark, path, schema).count()):
+        if broken == "raise":
+            raise ValueError(f"{n} broken records in {path}")
+        warnings.warn(f"{n} broken records in {path} are skipped", stacklevel=2)
+    df = read_json(spark, path, schema).where(F.col(_BROKEN).isNull()).drop(_BROKEN)
     if number_ids and "id" in df.columns and not df.where("id is null").isEmpty():
         df = positions(df).withColumn("id", F.coalesce("id", "position")).drop("position")
     return df

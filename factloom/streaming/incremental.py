@@ -16,12 +16,20 @@ def read_log(spark: SparkSession, folder: str, schema: StructType | str, files_p
 
 
 def resume_into(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append what the target does not hold yet: a batch that is repeated after a failure adds nothing twice."""
+    """Append what the target does not hold yet: a batch that is repeated after a failure adds nothing twice.
+
+    Of the target only the key column is read, and of its files only the row groups that may hold keys between the
+    batch's smallest and largest one. A target that is there but can't be read stops the stream.
+    """
     spark = stream.sparkSession
     schema = stream.schema.simpleString()[len("struct<") : -1]
 
     def write(batch: DataFrame, _: int) -> None:
-        append_batch(remaining(batch.dropDuplicates([key]), finished(spark, target, schema), key), target)
+        ends = batch.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+        done = finished(spark, target, schema, unreadable="raise").select(key)
+        if ends.low is not None:
+            done = done.where(F.col(key).between(F.lit(ends.low), F.lit(ends.high)))
+        append_batch(remaining(batch.dropDuplicates([key]), done, key), target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from factloom.operators.state import append_batch, finished
-from factloom.plans.experiments import Cascade, Settings, single_model, single_verifier, two_verifiers, with_mutations
+from factloom.plans.experiments import Cascade, Settings, cached_mutations, single_log, single_model, single_verifier, two_verifiers, with_mutations
 from factloom.plans.queries import queries
-from factloom.providers.base import ChatProvider, LexicalProvider, LocalServerProvider, ReplayProvider, ask, replay
-from factloom.providers.steps import decompose, inject, judge, verify
+from factloom.providers.base import ChatProvider, LexicalProvider, LocalServerProvider, ReplayProvider, Reply, Request, Retrying, ask, context_key, replay
+from factloom.providers.steps import answer_factoids, decompose, inject, judge, passages, verify
 from factloom.streaming.incremental import read_log, resume_into, windowed_rates
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,66 @@ def test_streams(spark, tmp_path):
     w = windowed_rates(read_log(spark, folder, log.schema), late="4000 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert spark.table("w").agg(F.sum("responses")).first()[0] == log.count()
+
+
+def test_every_phase_is_accounted_for(spark):
+    p = LexicalProvider()
+    c = Cascade(samples(spark), p, LexicalProvider(0.9, 0.5, "small"), LexicalProvider(name="large"))
+    used = {(r["sample"], r.answer_type): r for r in c.usage().collect()}
+    assert all(r.tokens_decompose > 0 for r in used.values()) and used[1, "right"].tokens_mutation > 0 and used[1, "right"].tokens_stage1_verify > 0
+    log = {(r.id, r.answer_type): r for r in c.response_log().collect()}
+    assert len(log) == 4 and len(c.response_log().columns) == 25 and len(c.factoid_log().columns) == 22
+    for k, r in log.items():
+        assert r.tokens_total == r.tokens_cloud_total + r.tokens_local_verify == used[k].tokens_total and r.tokens_api_decompose == used[k].tokens_decompose
+    s = c.summary("large").first()
+    assert s.sample_size == 2 and s.responses == 4 and s.tokens_total_avg == sum(r.tokens_total for r in log.values()) / 4 and s.net_gain == s.rescued - s.hurt
+    facts = c.factoid_log().where("answer_type = 'hallucinated'").orderBy("id", "factoid_id").collect()
+    assert [r.factoid_id for r in facts if r.id == 1] == [1, 2] and facts[0].stage1_syn_decisions.startswith('["')
+
+
+def test_single_log_adds_the_calls(spark):
+    rows = {r.id: r for r in single_log(samples(spark), LexicalProvider(), LexicalProvider()).collect()}
+    one = rows[1]
+    assert one.r_tokens == one.r_cloud_tokens + one.r_local_tokens + 1 + 2 + 4 and one.h_detected and not one.r_false_alarm
+    assert rows[2].h_answer == "" and rows[2].h_score == 0.0 and rows[2].r_tokens == rows[2].r_cloud_tokens + 1
+
+
+def test_replies_are_asked_for_again(spark):
+    class Stubborn(ReplayProvider):
+        """Says something else before it says what it should."""
+
+        def open(self):
+            said = iter(["hm", "well", "True", "late"] * 9)
+            return lambda r: Reply(next(said), 1, 1)
+
+    s = spark.createDataFrame([(1, "a", "c")], "k int, a string, c string")
+    assert judge(s, Stubborn(), ["k"], "a", "c").first().supported and not judge(s, Stubborn(), ["k"], "a", "c", tries=2).first().supported
+    reply = Retrying(Stubborn(), "true").open()(None)
+    assert (reply.text, reply.prompt_tokens) == ("True", 3)
+
+
+def test_think_and_options():
+    body = LocalServerProvider("u", "m", think=False, num_ctx=None, options={"num_predict": 7}).body(Request("verify", "s", "p"))
+    assert body["think"] is False and body["options"] == {"temperature": 0.0, "num_predict": 7} and "think" not in LocalServerProvider("u", "m").body(Request("verify", "s", "p"))
+
+
+def test_mutations_are_cached_and_failures_are_not(spark, tmp_path):
+    f = "id int, factoid string, mutations_list struct<synonyms: array<string>, antonyms: array<string>>"
+    rec, path = spark.createDataFrame([(1, "a b.", None), (2, "c d.", None)], f), str(tmp_path / "cache")
+    assert cached_mutations(rec, ReplayProvider(), path).count() == 2 and spark.read.parquet(path).count() == 0
+    cached_mutations(rec.where("id = 1"), LexicalProvider(), path)
+    again = {r.id: r.mutations_list for r in cached_mutations(rec, ReplayProvider(), path).collect()}
+    assert len(again[1].synonyms) == 2 and not (again[2] and again[2].synonyms) and [r.id for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_claims_of_both_answers(spark):
+    s = spark.createDataFrame([(1, "A is. B is.", None), (2, "", "x")], "k int, right_answer string, hallucinated_answer string")
+    got = answer_factoids(s, ReplayProvider({"A is. B is.": '["A is.", "  ", "B is."]', "x": '[""]'}), ["k"]).collect()
+    assert sorted((r.k, r.answer_type, r.fact_idx, r.factoid) for r in got) == [(1, "right", 0, "A is."), (1, "right", 2, "B is.")]
+
+
+def test_a_passage_joins_its_requests_at_the_call(spark):
+    probes = spark.createDataFrame([(1, "x", "red"), (2, "y", "red"), (3, "x", None)], "k int, p string, c string")
+    keyed = probes.select("k", "p", context_key(F.col("c")))
+    apart = verify(keyed, LexicalProvider(), ["k"], "context_key", "p", contexts=passages(probes, "c")).collect()
+    assert sorted(apart) == sorted(verify(probes, LexicalProvider(), ["k"], "c", "p").collect()) and len(apart) == 3

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from factloom.operators import dataset, evaluation, reports, responses, state
 from factloom.operators.components import connected_components
+from factloom.operators.escalation import escalation
 from factloom.plans.queries import queries
-from factloom.sources.records import QA_SAMPLE, Registry, load_json, load_sample, markdown, positions, write_csv
+from factloom.session import shared_dir
+from factloom.sources.records import QA_SAMPLE, Registry, broken_records, load_json, load_sample, markdown, positions, write_csv
 
 
 def test_components_against_union_find(spark):
@@ -122,6 +124,59 @@ def test_json_sources(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(out).where("right_answer is not null").first().right_answer == 'r "x", y'
 
 
+def test_broken_records_are_counted(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"id": 1}\n{broken\n\n{"id": "x"}\n{"id": 2}\n')
+    (tmp_path / "a.json").write_text('[{"id": 1}, {"id"')
+    assert {r.record for r in broken_records(spark, str(tmp_path / "l.json")).collect()} >= {"{broken"} and broken_records(spark, str(tmp_path / "a.json")).count() == 1
+    with pytest.warns(UserWarning, match="broken records"):
+        assert {r.id for r in load_json(spark, str(tmp_path / "l.json"), number_ids=False).collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        load_json(spark, str(tmp_path / "a.json"), broken="raise")
+    assert load_json(spark, str(tmp_path / "a.json"), broken="ignore").count() == 0
+
+
+def test_a_table_that_cannot_be_read_is_no_fresh_start_where_asked(spark, tmp_path):
+    (tmp_path / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        state.finished(spark, str(tmp_path), "k int", unreadable="raise")
+    assert state.finished(spark, str(tmp_path / "none"), "k int", unreadable="raise").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_statement_coverage_against_all_pairs(spark):
+    """Common and rare words, repeated statements, shares at the threshold."""
+    import random
+
+    r = random.Random(2)
+    names = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    text = lambda n: " ".join(r.choice(names[: r.choice([4, 40])]) for _ in range(n))
+    statements, documents = [(i, text(r.randint(0, 9))) for i in range(40)] + [(90, None)], [(i, text(r.randint(0, 25))) for i in range(80)] + [(99, None)]
+    s, d = spark.createDataFrame(statements, "sid int, t string"), spark.createDataFrame(documents, "did int, t string")
+    for least in (0.0, 0.4, 0.5, 0.6, 0.8):
+        want = {(i, j, len(a & b)) for i, x in statements for j, y in documents for a, b in [(set((x or "").split()), set((y or "").split()))] if a and len(a & b) / len(a) > least}
+        assert {tuple(x)[:3] for x in dataset.statement_coverage(s, "sid", "t", d, "did", "t", least).collect()} == want
+
+
+def test_risk_prior(spark):
+    df = spark.createDataFrame([("It has 3 rooms.", ["NO"]), ("It is not red.", ["YES"]), ("All came.", ["NO"]), ("It is red.", ["NO"]), (None, ["NO"])], "f string, syn array<string>").withColumn("ant", F.array().cast("array<string>"))
+    got = {p: [(r.risk_prior, r.reasons[-1:] == [r.risk_prior]) for r in escalation(df, "syn", "ant", p, fact="f").collect()] for p in ("strict", "paradox_only", "structure_aware")}
+    names = ["RiskPrior: Numerical/Temporal", "RiskPrior: Negation", "RiskPrior: Scope/Comparison", "", ""]
+    assert [x[0] for x in got["strict"]] == names
+    assert [x[1] for x in got["strict"]] == [True, True, True, False, False] and [x[1] for x in got["structure_aware"]] == [True, False, True, False, False] and not any(x[1] for x in got["paradox_only"])
+    assert {r.risk_prior for r in escalation(df, "syn", "ant").collect()} == {""}
+
+
 def test_positions(spark):
     got = [r.position for r in positions(spark.range(100, numPartitions=7)).orderBy("id").collect()]
     assert got == list(range(1, 101))
