@@ -79,16 +79,17 @@ def statement_coverage(statements: DataFrame, s_id: str, s_text: str, documents:
     documents; the pairs are then counted over all words. Words that occur in no statement leave the corpus side before
     the shuffle, and no common word brings all documents together unless a statement has nothing rarer.
     """
-    s = statements.select(F.col(s_id).alias("s"), core_words(F.col(s_text)).alias("words"))
+    s = statements.select(F.col(s_id).alias("s"), core_words(F.col(s_text)).alias("words")).dropDuplicates(["s"])
+    texts = documents.select(F.col(d_id).alias("d"), F.col(d_text).alias("text"))
+    words = texts.select("d", F.explode(core_words(F.col("text"))).alias("w"))
     wanted = s.select(F.explode("words").alias("w")).distinct()
-    d = documents.select(F.col(d_id).alias("d"), F.explode(core_words(F.col(d_text))).alias("w")).join(wanted, "w", "left_semi")
-    d = cut(d)
+    df = words.join(wanted, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
     order = W.partitionBy("s").orderBy(F.coalesce("df", F.lit(0)), "w")
-    ranked = s.select("s", F.size("words").alias("n"), F.explode("words").alias("w")).distinct().join(d.groupBy("w").agg(F.count("*").alias("df")), "w", "left").withColumn("rank", F.row_number().over(order))
+    ranked = s.select("s", F.size("words").alias("n"), F.explode("words").alias("w")).join(df, "w", "left").withColumn("rank", F.row_number().over(order))
     probes = ranked.where(F.col("rank") <= F.col("n") - F.floor(F.lit(threshold) * F.col("n") + 1e-9)).select("s", "w")
-    pairs = d.join(probes, "w").select("s", "d").distinct()
-    held = d.join(pairs.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.collect_set("w").alias("held"))  # at most the words of one document
-    out = pairs.join(held, "d").join(s.dropDuplicates(["s"]), "s").select("s", "d", F.size(F.array_intersect("words", "held")).cast("long").alias("matched"), F.size("words").alias("n"))
+    pairs = words.join(probes, "w").select("s", "d").distinct()
+    held = texts.join(pairs.select("d").distinct(), "d", "left_semi").select("d", core_words(F.col("text")).alias("held"))
+    out = pairs.join(held, "d").join(s, "s").select("s", "d", F.size(F.array_intersect("words", "held")).cast("long").alias("matched"), F.size("words").alias("n"))
     out = out.withColumn("coverage", F.col("matched") / F.col("n")).where(F.col("coverage") > threshold)
     return out.select(F.col("s").alias(s_id), F.col("d").alias(d_id), "matched", "coverage")
 
