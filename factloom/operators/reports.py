@@ -73,6 +73,24 @@ def verifier_report(df: DataFrame, category: str, verifier: str = "verifier", hi
     )
 
 
+def category_report(df: DataFrame, category: str, hits: tuple[str, ...] = STRUCTURE_HITS) -> DataFrame:
+    """Rates, outcomes, trigger hits and the exact combinations of triggers of each category, the last as 'name: n; ...'.
+
+    Rows are first counted by trigger and outcome, with combining before the shuffle; a category has few of these.
+    """
+    s = status(F.col("escalated"), F.col("correct"))
+    few = _known(df, category).groupBy(category, "trigger", "escalated", s.alias("s")).agg(F.count("*").alias("n"))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    by_trigger = few.groupBy(category, "trigger").agg(F.sum("n").alias("t"))
+    packed = F.array_sort(F.collect_list(F.when(F.col("trigger") != "None", F.concat("trigger", F.lit(": "), "t"))))
+    combined = by_trigger.groupBy(category).agg(F.array_join(packed, "; ").alias("combinations"))
+    sums = few.groupBy(category).agg(
+        F.sum("n").alias("n"), F.round(total(F.col("escalated")) / F.sum("n"), 6).alias("escalation_rate"), *[total(F.col("s") == x).alias(_slug(x)) for x in STATUSES],
+        *[total(F.col("trigger").contains(h)).alias(f"hit_{_slug(h)}") for h in hits],
+    )
+    return sums.join(combined, category)
+
+
 def aligned(tables: list[DataFrame], on: str) -> DataFrame:
     """Tables of statistics side by side, absent categories filled with 0."""
     out = tables[0]

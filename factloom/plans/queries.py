@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from factloom.functions import parsing, text
 from factloom.operators import batch_policies, components, dataset, escalation, evaluation, reports, responses, scoring, state
 from factloom.plans import sql
-from factloom.plans.experiments import Cascade, single_model, single_verifier, two_verifiers, with_mutations
+from factloom.plans.experiments import Cascade, single_log, single_model, single_verifier, two_verifiers, with_mutations
 from factloom.providers.base import LexicalProvider, replay
+from factloom.providers.steps import answer_factoids, inject, judge
+from factloom.session import scratch_name
+from factloom.sources import records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,23 @@ def _raw(k: Column, a: Column, null: Column) -> Column:
     return F.when(k == 0, F.concat(F.lit("Yes, "), a)).when(k == 1, F.concat(F.lit("no. "), a)).when(k == 2, F.concat(F.lit("NO. I am not sure: "), a)).when(k == 3, F.lit("NOTSURE")).when(k == 4, F.lit("YESNO")).otherwise(null)
 
 
+def preview_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text"), 60).alias("preview"))
+
+
+def probe_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists of different length, zipped as far as both go."""
+    zipped = responses.probe_pairs(F.col("syn1"), F.slice(F.col("ant1"), F.lit(1), F.lit(1)))
+    return _lists(spark, sf_dir).select("fact_log_id", F.array_join(F.transform(zipped, lambda x: F.concat(x["text"], F.lit("="), x["output"])), ",").alias("pairs"))
+
+
+def map_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw samples with nested documents and annotations, made from the flat table."""
+    docs = F.when(F.col("context").isNotNull(), F.transform(F.split("context", "\n\n"), lambda x: F.struct(x.alias("text"))))
+    raw = _table(spark, sf_dir, "example_asqa").select(F.col("row_id").alias("question_id"), "question", docs.alias("docs"), F.array(F.struct(F.col("right_answer").alias("long_answer"))).alias("annotations"))
+    return dataset.map_fields(raw)
+
+
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(F.col("k"), F.col("a"), F.col("right_answer"))
     return _replies(spark, sf_dir).select("row_id", parsing.verdict(raw).alias("verdict"))
@@ -133,6 +153,11 @@ def escalate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _escalate(spark, sf_dir, "structure_aware")
 
 
+def escalate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = escalation.escalation(_lists(spark, sf_dir).select("fact_log_id", "factoid_text", "syn1", "ant1"), "syn1", "ant1", "strict", fact="factoid_text")
+    return out.select("fact_log_id", "escalated", F.array_join("reasons", " | ").alias("reasons"), "risk_prior")
+
+
 def cascade_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _lists(spark, sf_dir)
     stage1 = l.select("fact_log_id", F.col("syn1").alias("syn"), F.col("ant1").alias("ant"))
@@ -251,6 +276,28 @@ def aligned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.aligned([reports.escalation_rate(b.where("escalated"), "category").select("category", F.col("n").alias("escalations")), reports.status_counts(b, "category").select("category", "n", "success_pass")], "category")
 
 
+def aligned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three statistics over all rows side by side; one of them lacks categories."""
+    b = _batch(spark, sf_dir, "structure_aware")
+    quiet = b.where("not escalated").groupBy("category").agg(F.count("*").alias("quiet")).where("category like '%c%'")
+    return reports.aligned([reports.escalation_rate(b.where("escalated"), "category").select("category", F.col("n").alias("escalations")), reports.status_counts(b, "category"), quiet], "category").where("category is not null")
+
+
+def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.category_report(_batch(spark, sf_dir, "structure_aware"), "category")
+
+
+def crosstab_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["original uncertainty", "logical paradox", "threshold anomaly", "logical paradox + threshold anomaly"]
+    wide = reports.crosstab_wide(_batch(spark, sf_dir, "structure_aware"), "category", "trigger", names)
+    return wide.select("category", *[F.col(n).alias(f"n{i}") for i, n in enumerate(names)])
+
+
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = records.markdown(reports.status_counts(_batch(spark, sf_dir, "structure_aware"), "category").orderBy("category")).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
 def _verifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small verifier and a large one, whose digits are shifted by one."""
     both = [_batch(spark, sf_dir, "structure_aware", shift).withColumn("verifier", F.lit(name)) for name, shift in (("small", 0), ("large", 1))]
@@ -310,6 +357,28 @@ def replayed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(log.select("fact_log_id"), stored.where("text is not null"), ["fact_log_id"]).select("fact_log_id", parsing.verdict(F.col("text")).alias("verdict"), "failed")
 
 
+# --- sources and sinks: written to the shared folder and read again -----------------------------------------------
+
+
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, schema = scratch_name(spark, "json"), "row_id long, question string, context string, right_answer string"
+    _table(spark, sf_dir, "example_asqa").select("row_id", "question", "context", "right_answer").write.json(path)
+    return records.load_json(spark, path, schema)
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, log = scratch_name(spark, "csv"), _table(spark, sf_dir, "response_log").select("log_id", "question", "answer_type", "gold_label", "stage1_final_score", "latency_s", "tokens_total", "escalation_reasons")
+    records.write_csv(log, path)
+    return records.read_csv(spark, path, log.schema)
+
+
+def details_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, nested = scratch_name(spark, "details"), responses.nested_log(_table(spark, sf_dir, "factoid_log"), ["log_id"], "factoid_id", ["factoid_text", "escalated"])
+    records.write_details(nested, path)
+    back = spark.read.schema(nested.schema).json(path)
+    return back.select("log_id", F.inline("factoids"))
+
+
 # --- dataset construction --------------------------------------------------------------------------------------
 
 
@@ -366,13 +435,34 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def experiment_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = LexicalProvider()
-    return single_verifier(_table(spark, sf_dir, "example_asqa"), p, p, "row_id")
+    return single_verifier(_table(spark, sf_dir, "example_asqa"), p, p, "row_id").withColumn("final_score", F.round("final_score", 6))
 
 
-def experiment_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+def experiment_single_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = LexicalProvider()
-    c = Cascade(_table(spark, sf_dir, "example_asqa"), p, LexicalProvider(0.9, 0.5, "small"), LexicalProvider(0.75, 0.4, "large"), "row_id")
-    return c.responses.select("sample", "answer_type", "stage1_final_score", "cascade_final_score", "factoids_total", "factoid_escalation_count", "escalation_reasons")
+    return single_log(_table(spark, sf_dir, "example_asqa"), p, p, "row_id").withColumns({c: F.round(c, 6) for c in ("h_score", "r_score")})
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> Cascade:
+    return Cascade(_table(spark, sf_dir, "example_asqa"), LexicalProvider(), LexicalProvider(0.9, 0.5, "small"), LexicalProvider(0.75, 0.4, "large"), "row_id")
+
+
+def experiment_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = {c: F.round(c, 6) for c in ("stage1_final_score", "cascade_final_score")}
+    return _cascade(spark, sf_dir).responses.select("sample", "answer_type", "stage1_final_score", "cascade_final_score", "factoids_total", "factoid_escalation_count", "escalation_reasons").withColumns(scores)
+
+
+def experiment_response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir).response_log()
+
+
+def experiment_factoid_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir).factoid_log()
+
+
+def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _cascade(spark, sf_dir).summary("large")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 def experiment_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +475,19 @@ def experiment_two_verifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "factoid_type", "status", "rescued", "harmed")
 
 
+def judge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "example_asqa"), LexicalProvider(), ["row_id"], "right_answer", "context")
+
+
+def inject_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inject(_table(spark, sf_dir, "example_asqa").where("right_answer <> ''"), LexicalProvider(), ["row_id"], "right_answer")
+    return out.select("row_id", F.array_join("strategies", ", ").alias("strategies"), "hallucinated_answer")
+
+
+def factoid_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_factoids(_table(spark, sf_dir, "example_asqa"), LexicalProvider(), ["row_id"]).select("row_id", "answer_type", "fact_idx", "factoid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of = (
         answer_unpivot, context_snippet, seeded_sample, response_flags, token_totals, verdict_parse, verdict_legacy, mutation_parse, factoid_parse, factoid_score, factoid_score_long, response_score,
@@ -392,7 +495,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_paradox, batch_strict, batch_structure, original_correct, escalation_by_category, failure_crosstab, trigger_crosstab, status_by_category, trigger_hits, strict_trigger_hits, aligned_stats,
         verifier_compare, comparative_summary, per_verifier_report, percent_format, resume_antijoin, summary_upsert, mutation_cache, replayed_verdicts,
         lexical_coverage, grounding_filter, statement_coverage, dual_validation, taxonomy, merge_pools, balanced_sample, source_components,
-        experiment_single, experiment_cascade, experiment_batch, experiment_two_verifiers,
+        experiment_single, experiment_single_log, experiment_cascade, experiment_response_log, experiment_factoid_log, experiment_summary, experiment_batch, experiment_two_verifiers,
+        judge_support, inject_strategies, factoid_extraction, preview_text, probe_zip, map_fields, escalate_risk, aligned_totals, category_report, crosstab_wide, markdown_report,
+        json_roundtrip, csv_roundtrip, details_roundtrip,
     )
     return {f.__name__: f for f in all_of}
 

@@ -133,6 +133,189 @@ with r as (
 """
 
 
+# --- the experiments through the lexical stand-in ---
+_WS = r"[\t\n\x0b\f\r\x1c-\x20\x85\p{Z}]"
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _core(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: w not in ({_STOPS})))"
+
+
+def _words(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[^\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x85\\p{{Z}}]+'))"
+
+
+def _said(x: str) -> str:
+    return _core(f"regexp_replace({x}, '^(It is (true|false) that|Put differently:|Nobody holds that)', '')")
+
+
+def _verdict_of(yes: float, no: float) -> str:
+    plain = f"case when share > {yes} then 'YES' when share < {no} then 'NO' else 'NOT SURE' end"
+    turned = f"case when share > {yes} then 'NO' when share < {no} then 'YES' else 'NOT SURE' end"
+    return f"case when starts_with(probe, 'It is false that') or starts_with(probe, 'Nobody holds that') then {turned} else {plain} end"
+
+
+def _lines(x: str) -> str:
+    return f"list_slice(list_filter(list_transform(string_split({x}, chr(10)), lambda y: regexp_replace(y, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda y: y <> ''), 1, 2)"
+
+
+_SYN, _ANT = "'It is true that ' || {f} || chr(10) || 'Put differently: ' || {f}", "'It is false that ' || {f} || chr(10) || 'Nobody holds that ' || {f}"
+_SHARE = "case when len(said) = 0 then 0.0 else len(list_intersect(said, known))::double / len(said) end"
+
+
+def _responses_of(evidence: str) -> str:
+    """x_r: responses; x_f: factoids; x_p: probes with the share of their words in the evidence."""
+    return f"""
+with s as (select row_id as sample, coalesce(question, '') as q0, question, {evidence} as evidence, right_answer, hallucinated_answer from example_asqa
+), k as (select sample, {_core('evidence')} as known, {_words('evidence')} as evidence_words from s
+), x_r as (
+  select sample, question, evidence, unnest(['hallucinated', 'right']) as answer_type, unnest([true, false]) as gold_label, unnest([coalesce(hallucinated_answer, ''), coalesce(right_answer, '')]) as answer_text from s
+), y as (
+  select *, list_filter(string_split(regexp_replace({_strip('answer_text')}, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda z: z <> '') as facts from x_r
+), x_f as (select sample, answer_type, unnest(facts) as factoid, unnest(range(len(facts))) as fact_idx from y
+), m as (
+  select *, 'syn' as kind, {_lines(_SYN.format(f='factoid'))} as l from x_f union all select *, 'ant', {_lines(_ANT.format(f='factoid'))} from x_f
+), u as (select sample, answer_type, fact_idx, kind, unnest(l) as probe, unnest(range(len(l))) as ord from m
+), v as (select u.*, known, evidence_words, {_said('probe')} as said from u join k using (sample)
+), x_p as (select *, {_SHARE} as share from v)"""
+
+
+def _cost(verdict: str) -> str:
+    return f"case {verdict} when 'NOT SURE' then 0.5 when case kind when 'syn' then 'NO' else 'YES' end then 1.0 else 0.0 end"
+
+
+_SINGLE = _responses_of("coalesce(context, '')") + f"""
+, d as (select *, {_verdict_of(0.75, 0.4)} as d1 from x_p
+), g as (select sample, answer_type, fact_idx, avg({_cost('d1')}) as score from d group by all
+), t as (select sample, answer_type, max(score) as score from g group by all
+), c as (select sample, answer_type, sum(2 + evidence_words + {_words('probe')} + case d1 when 'NOT SURE' then 2 else 1 end) as local, count(*) as probes from d group by all
+), n as (select sample, answer_type, count(*) as facts, sum(6 * {_words('factoid')} + 13) as mutation from x_f group by all
+), o as (
+  select y.*, coalesce(t.score, 0.0) as final_score, coalesce(c.local, 0) as local, coalesce(c.probes, 0) as probes, coalesce(n.facts, 0) as n_facts,
+    {_words('answer_text')} + case when len(y.facts) = 0 then 1 else len(list_filter(string_split('["' || array_to_string(y.facts, '", "') || '"]', ' '), lambda z: z <> '')) end + coalesce(n.mutation, 0) as cloud
+  from y left join t using (sample, answer_type) left join c using (sample, answer_type) left join n using (sample, answer_type)
+)
+"""
+_SINGLE_LOG = _SINGLE + "select h.sample as id, h.question, case when length(h.evidence) > 50 then h.evidence[1:50] || '...' else h.evidence end as context_snippet, " + ", ".join(
+    f"{x}.answer_text as {x}_answer, round({x}.final_score, 6) as {x}_score, {x}.final_score >= 0.5 as {d}, 0.0::double as {x}_latency_s, cast({x}.cloud + {x}.local + 1 + 2 * {x}.n_facts + {x}.probes as bigint) as {x}_tokens, cast({x}.cloud as bigint) as {x}_cloud_tokens, cast({x}.local as bigint) as {x}_local_tokens"
+    for x, d in (("h", "h_detected"), ("r", "r_false_alarm"))
+) + " from o h join o r on h.sample = r.sample and h.answer_type = 'hallucinated' and r.answer_type = 'right'"
+
+_CASCADE = _responses_of("coalesce(nullif(knowledge, ''), context, '')") + f"""
+, d as (select *, {_verdict_of(0.9, 0.5)} as d1, {_verdict_of(0.75, 0.4)} as d2, 2 + evidence_words + {_words('probe')} as asked from x_p
+), g as (
+  select sample, answer_type, fact_idx, coalesce(list(d1 order by ord) filter (kind = 'syn'), []) as syn1, coalesce(list(d1 order by ord) filter (kind = 'ant'), []) as ant1,
+    coalesce(list(d2 order by ord) filter (kind = 'syn'), []) as syn2, coalesce(list(d2 order by ord) filter (kind = 'ant'), []) as ant2, avg({_cost('d1')}) as score1, avg({_cost('d2')}) as score2,
+    sum(asked + case d1 when 'NOT SURE' then 2 else 1 end) as used1, sum(asked + case d2 when 'NOT SURE' then 2 else 1 end) as used2
+  from d group by sample, answer_type, fact_idx
+), a as (
+  select *, len(list_filter(syn1, lambda z: z in ('NO', 'NOT SURE'))) as sc, len(list_filter(ant1, lambda z: z in ('YES', 'NOT SURE'))) as ac, greatest(len(syn1), 1) as sn, greatest(len(ant1), 1) as an,
+    list_contains(syn1, 'YES') and list_contains(ant1, 'YES') as ys, list_contains(syn1, 'NO') and list_contains(ant1, 'NO') as ns
+  from x_f left join g using (sample, answer_type, fact_idx)
+), b as (
+  select *, list_filter([case when ys or ns then 'StructureAware: Logical paradox' end, case when sc >= 2 or sc::double / sn >= 0.4 then 'StructureAware: Synonym anomaly threshold reached (' || sc || '/' || sn || ')' end,
+    case when ac >= 2 or ac::double / an >= 0.4 then 'StructureAware: Antonym anomaly threshold reached (' || ac || '/' || an || ')' end], lambda z: z is not null) as reasons
+  from a
+), e as (select *, len(reasons) > 0 as escalated, case when len(reasons) > 0 then score2 else score1 end as score_c from b
+), t as (
+  select sample, answer_type, max(score1) as m1, max(score_c) as m2, count(*) as factoids, count(*) filter (escalated) as esc, string_agg(case when escalated then array_to_string(reasons, ' | ') end, ' | ' order by fact_idx) as why,
+    sum(used1) as local, sum(used2) filter (escalated) as stage2, sum(6 * {_words('factoid')} + 13) as mutation
+  from e group by all
+), o as (
+  select y.*, coalesce(m1, 0.0) as s1, coalesce(m2, 0.0) as s2, coalesce(factoids, 0) as factoids_total, coalesce(esc, 0) as esc, coalesce(why, '') as why, coalesce(local, 0) as local, coalesce(stage2, 0) as stage2, coalesce(mutation, 0) as mutation,
+    {_words('answer_text')} + case when len(y.facts) = 0 then 1 else len(list_filter(string_split('["' || array_to_string(y.facts, '", "') || '"]', ' '), lambda z: z <> '')) end as decompose
+  from y left join t using (sample, answer_type)
+), l as (
+  select sample as id, question, case when length(evidence) > 80 then evidence[1:80] || '...' else evidence end as context_snippet, answer_type, cast(gold_label as integer) as gold_label, answer_text, round(s1, 4) as stage1_final_score, round(s2, 4) as cascade_final_score,
+    cast(s1 >= 0.5 as integer) as stage1_pred, cast(s2 >= 0.5 as integer) as cascade_pred, cast((s1 >= 0.5) = gold_label as integer) as stage1_correct, cast((s2 >= 0.5) = gold_label as integer) as cascade_correct, cast(esc > 0 as integer) as response_escalated,
+    cast(esc > 0 and (s1 >= 0.5) <> gold_label and (s2 >= 0.5) = gold_label as integer) as response_rescued, cast(esc > 0 and (s1 >= 0.5) = gold_label and (s2 >= 0.5) <> gold_label as integer) as response_hurt, factoids_total, esc as factoid_escalation_count, why as escalation_reasons,
+    0.0::double as latency_s, cast(decompose + mutation + stage2 + local as bigint) as tokens_total, cast(decompose + mutation + stage2 as bigint) as tokens_cloud_total, cast(local as bigint) as tokens_local_verify, cast(decompose as bigint) as tokens_api_decompose, cast(mutation as bigint) as tokens_api_mutation, cast(stage2 as bigint) as tokens_api_stage2_verify
+  from o
+)
+"""
+
+
+def _json_list(x: str) -> str:
+    return f"""'[' || array_to_string(list_transform({x}, lambda z: '"' || z || '"'), ', ') || ']'"""
+
+
+_FACTOID_LOG = _CASCADE + f"""
+select e.sample as id, question, e.answer_type, cast(gold_label as integer) as gold_label, cast(fact_idx + 1 as integer) as factoid_id, factoid as factoid_text, cast(escalated as integer) as escalated, array_to_string(reasons, ' | ') as trigger_reasons,
+  round(coalesce(score1, 0.0), 4) as stage1_factoid_score, round(coalesce(score_c, 0.0), 4) as cascade_factoid_score, {_json_list('syn1')} as stage1_syn_decisions, {_json_list('ant1')} as stage1_ant_decisions,
+  {_json_list('case when escalated then syn2 else syn1 end')} as final_syn_decisions, {_json_list('case when escalated then ant2 else ant1 end')} as final_ant_decisions, cast(sc as integer) as syn_anomaly_count, cast(ac as integer) as ant_anomaly_count,
+  round(sc::double / sn, 4) as syn_anomaly_ratio, round(ac::double / an, 4) as ant_anomaly_ratio, cast(ys or ns as integer) as logical_paradox, cast(ys as integer) as both_yes, cast(ns as integer) as both_no, '' as risk_prior
+from e join x_r using (sample, answer_type)
+"""
+_COST_NAMES = ("latency_s", "tokens_total", "tokens_cloud_total", "tokens_local_verify", "tokens_api_decompose", "tokens_api_mutation", "tokens_api_stage2_verify")
+_SUMMARY = _CASCADE + f"""
+, w as (
+  select 'large' as model, {_cells('stage1_', 'stage1_pred').replace('not gold_label', 'gold_label = 0').replace('and gold_label)', 'and gold_label = 1)')}, {_cells('cascade_', 'cascade_pred').replace('not gold_label', 'gold_label = 0').replace('and gold_label)', 'and gold_label = 1)')},
+    count(*) as responses, cast(sum(response_escalated) as bigint) as escalated, cast(sum(response_rescued) as bigint) as rescued, cast(sum(response_hurt) as bigint) as hurt, count(*) filter (response_escalated = 1 and stage1_correct = 0) as escalated_wrong,
+    sum(factoids_total) as f, sum(factoid_escalation_count) as fe, sum(cascade_correct) - sum(stage1_correct) as gain, count(distinct id) as sample_size, {', '.join(f'round(avg({c}), 6) as {c}_avg' for c in _COST_NAMES)}
+  from l
+)
+select * exclude (f, fe, gain), {_prf('stage1_')}, {_prf('cascade_')}, round({_ratio('escalated', 'responses')}, 6) as response_escalation_rate, round({_ratio('fe', 'f')}, 6) as factoid_escalation_rate, round({_ratio('rescued', 'escalated')}, 6) as rescue_rate,
+  round({_ratio('rescued', 'escalated_wrong')}, 6) as conditional_rescue_rate, round({_ratio('hurt', 'escalated')}, 6) as harm_rate, cast(gain as bigint) as net_gain, round({_ratio('gain', 'escalated')} * 100, 6) as efficiency_per_100,
+  'structure_aware' as policy, 'small' as small_verifier, 'large' as stage2_verifier, 0.5::double as threshold, 2 as n_mutations
+from w
+"""
+
+
+def _batch_of(name: str, yes: float, no: float, made: bool) -> str:
+    """name_f: a record's verdicts as the batch runs have them, from its own mutations, or made ones where it has none."""
+    listed = lambda part, made_of: f"case when mutations_list is null then {_lines(made_of.format(f='factoid')) if made else '[]'} else list_slice(coalesce(mutations_list.{part}, []), 1, 2) end"
+    return f"""
+{name}_b as (select id, factoid, context_support, coalesce(context, '') as evidence, {listed('synonyms', _SYN)} as syns, {listed('antonyms', _ANT)} as ants from example_dataset where factoid is not null
+), {name}_k as (select id, {_core('evidence')} as known from {name}_b
+), {name}_l as (
+  select id, 'orig' as kind, factoid as probe, 0 as ord from {name}_b union all select id, 'syn', unnest(syns), unnest(range(len(syns))) from {name}_b union all select id, 'ant', unnest(ants), unnest(range(len(ants))) from {name}_b
+), {name}_s as (select id, kind, ord, coalesce(probe, '') as probe, known, {_said("coalesce(probe, '')")} as said from {name}_l join {name}_k using (id)
+), {name}_h as (select *, {_SHARE} as share from {name}_s
+), {name}_v as (select id, kind, ord, case when {_verdict_of(yes, no)} = 'YES' then 'YES' else 'NO' end as d from {name}_h
+), {name}_a as (
+  select id, max(d) filter (kind = 'orig') as orig, coalesce(list(d order by ord) filter (kind = 'syn'), []) as syn, coalesce(list(d order by ord) filter (kind = 'ant'), []) as ant from {name}_v group by id
+), {name}_f as (select {name}_a.*, factoid_type, context_support as t0 from {name}_a join example_dataset using (id)
+), """ + _fixture(name).split("), ", 1)[1]
+
+
+def _experiments() -> dict[str, str]:
+    two = "with" + _batch_of("b", 0.9, 0.5, False) + "," + _policy("b", "structure") + "," + _batch_of("d", 0.75, 0.4, False) + "," + _policy("d", "structure")
+    two += ", q as (select b_p.id, b_p.factoid_type, b_p.escalated, b_p.correct_null as s, d_p.correct_null as l from b_p join d_p using (id))"
+    md5 = "(('0x' || substr(md5('42|' || row_id), 1, 8))::bigint % 21)"
+    order = "list_transform(range(7), lambda i: (['Entity', 'Negation', 'Quantifier', 'Time', 'Comparative', 'Numerical', 'Relational'])[1 + (i * 3 + h) % 7])"
+    answers = "(select row_id, unnest(['hallucinated', 'right']) as answer_type, unnest([hallucinated_answer, right_answer]) as t from example_asqa)"
+    risk = r"case when regexp_matches(lower(factoid_text), '\b\d+\b') then 'RiskPrior: Numerical/Temporal' when regexp_matches(lower(factoid_text), '\b(not|never|no|none|cannot|without|lack)\b') then 'RiskPrior: Negation' when regexp_matches(lower(factoid_text), '\b(more|less|most|least|better|worse|highest|lowest|all|every|only|always)\b') then 'RiskPrior: Scope/Comparison' end"
+    return {
+        "experiment_single": _SINGLE + "select sample, answer_type, gold_label, round(final_score, 6) as final_score, final_score >= 0.5 as pred from o",
+        "experiment_single_log": _SINGLE_LOG,
+        "experiment_cascade": _CASCADE + "select sample, answer_type, round(s1, 6) as stage1_final_score, round(s2, 6) as cascade_final_score, factoids_total, esc as factoid_escalation_count, why as escalation_reasons from o",
+        "experiment_response_log": _CASCADE + "select * from l",
+        "experiment_factoid_log": _FACTOID_LOG,
+        "experiment_summary": _SUMMARY,
+        "experiment_batch": "with" + _batch_of("b", 0.75, 0.4, True) + "," + _policy("b", "structure") + 'select id, factoid_type, escalated, "trigger", failure, correct from b_p',
+        "experiment_two_verifiers": two + f"select id, factoid_type, {_CASE_STATUS} as status, escalated and not s and l as rescued, escalated and s and not l as harmed from q",
+        "judge_support": f"with s as (select row_id, right_answer, context, {_said('right_answer')} as said, {_core('context')} as known from example_asqa where right_answer <> '' and context <> '') select row_id, coalesce({_SHARE} > 0.75, false) as supported from example_asqa left join s using (row_id)",
+        "inject_strategies": f"select row_id, array_to_string(list_slice({order}, 1, h // 7 + 1), ', ') as strategies, 'Not so: ' || right_answer as hallucinated_answer from (select row_id, right_answer, {md5} as h from example_asqa where right_answer <> '')",
+        "factoid_extraction": f"with y as (select row_id, answer_type, list_filter(string_split(regexp_replace({_strip('t')}, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda z: z <> '') as facts from {answers} where t <> ''), f as (select row_id, answer_type, cast(unnest(range(len(facts))) as integer) as fact_idx, unnest(facts) as factoid from y) select * from f where regexp_replace(factoid, '[\\s\\p{{Z}}]', '', 'g') <> ''",
+        "preview_text": r"select doc_id, case when length(p) > 60 then regexp_replace(p[1:60], ' +$', '') || ' ...' else p end as preview from (select doc_id, regexp_replace(regexp_replace(text, '[\s\x0b\p{Z}]+', ' ', 'g'), '^ +| +$', '', 'g') as p from documents)",
+        "probe_zip": _LISTS + "select fact_log_id, case when len(syn1) > 0 and len(ant1) > 0 then syn1[1] || '=' || ant1[1] else '' end as pairs from l",
+        "map_fields": "select cast(row_id as varchar) as id, coalesce(question, '') as question, coalesce(array_to_string(list_slice(string_split(context, chr(10) || chr(10)), 1, 3), chr(10) || chr(10)), '') as context, coalesce(right_answer, '') as right_answer from example_asqa",
+        "escalate_risk": _LISTS + f", e as (select a.fact_log_id, {risk} as risk, list_filter([case when sc > 0 then 'Strict: Synonym anomaly' end, case when ac > 0 then 'Strict: Antonym anomaly' end, case when ys or ns then 'Strict: Logical paradox' end, {risk}], lambda x: x is not null) as r from a join factoid_log using (fact_log_id)) select fact_log_id, len(r) > 0 as escalated, array_to_string(r, ' | ') as reasons, coalesce(risk, '') as risk_prior from e",
+        "aligned_totals": "with" + _batch("structure") + f", x as (select category, count(*) as n, count(*) filter (escalated) as escalations, {_counts()}, count(*) filter (not escalated) as quiet from b_p where category is not null group by 1) select category, n, escalations, valid_escalation, over_escalation, success_pass, missed_detection, case when contains(category, 'c') then quiet else 0 end as quiet from x",
+        "category_report": "with" + _batch("structure") + f", x as (select category, count(*) as n, round(avg(escalated::integer), 6) as escalation_rate, {_counts()}, {_HITS} from b_p where category is not null group by category), y as (select category, \"trigger\" || ': ' || count(*) as t from b_p where category is not null and \"trigger\" <> 'None' group by category, \"trigger\"), z as (select category, string_agg(t, '; ' order by t) as combinations from y group by category) select x.*, coalesce(combinations, '') as combinations from x left join z using (category)",
+        "crosstab_wide": "with" + _batch("structure") + "select category, " + ", ".join(f"count(*) filter (\"trigger\" = '{t}') as n{i}" for i, t in enumerate(("original uncertainty", "logical paradox", "threshold anomaly", "logical paradox + threshold anomaly"))) + " from b_p where category is not null group by category",
+        "markdown_report": "with" + _batch("structure") + f", x as (select category, count(*) as n, {_counts()} from b_p where category is not null group by category), y as (select cast(1 + row_number() over (order by category) as integer) as line, '| ' || concat_ws(' | ', category, n, valid_escalation, over_escalation, success_pass, missed_detection) || ' |' as text from x) select * from y union all select 0, '| category | n | valid_escalation | over_escalation | success_pass | missed_detection |' union all select 1, '|---|---|---|---|---|---|'",
+        "json_roundtrip": "select row_id, question, context, right_answer from example_asqa",
+        "csv_roundtrip": "select log_id, question, answer_type, gold_label, stage1_final_score, latency_s, tokens_total, escalation_reasons from response_log",
+        "details_roundtrip": "select log_id, factoid_id, factoid_text, escalated from factoid_log",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "answer_unpivot": "select row_id, coalesce(nullif(knowledge, ''), context, '') as evidence, unnest(['hallucinated', 'right']) as answer_type, unnest([true, false]) as gold_label, unnest([coalesce(hallucinated_answer, ''), coalesce(right_answer, '')]) as answer_text from example_asqa",
@@ -188,4 +371,4 @@ def oracle_sql() -> dict[str, str]:
     }
     for name, policy in (("batch_paradox", "paradox"), ("batch_strict", "strict"), ("batch_structure", "structure")):
         out[name] = "with" + _batch(policy) + 'select event_id, escalated, "trigger", failure from b_p'
-    return out
+    return out | _experiments()

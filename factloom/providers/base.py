@@ -56,7 +56,7 @@ class LexicalProvider:
     """A deterministic stand-in for tests: word coverage instead of judgement. Not a substitute for a model.
 
     verify: YES above `yes`, NO below `no`, else NOT SURE; a negated statement is turned round. decompose: sentences.
-    synonyms and antonyms: fixed wrappers.
+    synonyms and antonyms: fixed wrappers. judge: True above `yes`. inject: a fixed prefix.
     """
 
     yes: float = 0.75
@@ -77,9 +77,13 @@ class LexicalProvider:
                 return f"It is true that {r.statement}\nPut differently: {r.statement}"
             if r.phase == "antonyms":
                 return f"It is false that {r.statement}\nNobody holds that {r.statement}"
+            if r.phase == "inject":
+                return f"Not so: {r.statement}"
             negated = r.statement.startswith(("It is false that", "Nobody holds that"))
             said = core(re.sub(r"^(It is (true|false) that|Put differently:|Nobody holds that)", "", r.statement))
             share = len(said & core(r.context)) / len(said) if said else 0.0
+            if r.phase == "judge":
+                return str(share > self.yes)
             verdict = "YES" if share > self.yes else "NO" if share < self.no else "NOT SURE"
             return {"YES": "NO", "NO": "YES"}.get(verdict, verdict) if negated else verdict
 

@@ -92,6 +92,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     _flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What write_csv wrote: quoted texts may hold line breaks, nothing is null, and "" is the empty text."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\x00").csv(path)
+
+
 def write_details(df: DataFrame, path: str, kind: str = "json") -> None:
     """Nested results as JSON lines or parquet."""
     df.write.mode("overwrite").format(kind).save(path)
