@@ -101,7 +101,7 @@ def _tables() -> dict[str, np.ndarray]:
     return {"kind": kind, "start": start, "length": length, "pool": np.array(pool, np.uint32), "letter": letter, "latin": latin, "mark": mark, "alike": alike, "order": order, "keys": keys, "whole": whole, "joiner": joiner, "shaped": shaped}
 
 
-def _points(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def code_points(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all values, and the number of code points of each."""
     if values.offset:
         values = pa.concat_arrays([values])
@@ -212,7 +212,7 @@ def consistent_array(values: pa.Array, alike: bool = True) -> tuple[pa.Array, np
     candidates = np.flatnonzero(pc.fill_null(pc.invert(pc.string_is_ascii(values)), False).to_numpy(zero_copy_only=False))
     if len(candidates):
         some = values.take(pa.array(candidates))
-        points, lengths = _points(some)
+        points, lengths = code_points(some)
         odd = np.r_[0, np.cumsum(_tables()["kind"][points] != PLAIN)]
         ends = np.r_[0, np.cumsum(lengths)]
         suspect = odd[ends[1:]] > odd[ends[:-1]]

@@ -12,7 +12,6 @@ discards nearly every accidental pair before a text is fetched.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.llm.words import WordHashes, hashed, mix, run_hashes, words
+from factloom.llm.words import mix, run_hashes, word_hashes
 from factloom.operators.components import connected_components
 from factloom.session import cut
 
@@ -58,40 +57,26 @@ NOTHING = Common(*[np.zeros(0, np.uint64), np.zeros(0, np.int64)] * 2)
 
 
 def _count_common(k: int, frequent: float, common: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """text -> kind, key, n: words and runs that are common in a stretch of rows, and totals.
+    """text -> kind, key, n: words and runs that are common in a batch of rows, and totals.
 
-    What is in a share s of all rows is in that share of some stretches; where it is in less than s / 2, it is left out,
+    What is in a share s of all rows is in that share of some batches; where it is in less than s / 2, it is left out,
     which takes away less than half of its count. So everything in a share s of all rows comes out with s / 2 of them at
     least, and few words leave a task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, rows = WordHashes(), Counter(), 0
-
         def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-        def flush() -> pa.RecordBatch:
-            least = frequent * rows / 2
-            some = [(w, n) for w, n in seen.items() if n >= least]
-            seen.clear()
-            return out(_WORD, np.fromiter((known[w] for w, _ in some), np.uint64, len(some)), np.array([n for _, n in some], np.int64))
-
         for batch in batches:
-            lists = [words(t) for t in batch.column(0).to_pylist()]
-            for x in lists:
-                seen.update(set(x))
-            rows += len(lists)
-            flat, starts = hashed(lists, known)
-            runs, n = np.unique(run_hashes(flat, starts, k)[0], return_counts=True)
-            often = n >= max(2, common * len(lists) / 2)
-            yield out(_RUN, runs[often], n[often])
+            flat, starts = word_hashes(batch.column(0))
+            rows = len(starts) - 1
+            for kind, keys, share in ((_WORD, flat, frequent), (_RUN, run_hashes(flat, starts, k)[0], common)):
+                keys, n = np.unique(keys, return_counts=True)
+                often = n >= max(2, share * rows / 2)
+                yield out(kind, keys[often], n[often])
             yield out(_WORDS, np.zeros(1, np.int64), np.array([len(flat)]))
-            yield out(_ROWS, np.zeros(1, np.int64), np.array([len(lists)]))
-            if len(seen) > 400_000:
-                yield flush()
-                rows = 0
-        yield flush()
+            yield out(_ROWS, np.zeros(1, np.int64), np.array([rows]))
 
     return count
 
@@ -117,35 +102,45 @@ def common_parts(texts: DataFrame, k: int, frequent: float = FREQUENT, common: f
     return Common(*top(_WORD, frequent), *top(_RUN, common), heavy_level, total.get(_WORDS, 0), rows)
 
 
-def _levels(keys: np.ndarray, levels: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The level of each asked hash, 0 for those that are not common."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, levels[at], 0)
+class _Levels:
+    """Levels by hash: a table with one place for each of some low bits; of two hashes with one place the more frequent stays."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        self.low = np.uint64((1 << max(12, (4 * len(keys)).bit_length())) - 1)
+        self.key, self.level = np.zeros(int(self.low) + 1, np.uint64), np.zeros(int(self.low) + 1, np.int64)
+        order = np.lexsort((keys, levels))
+        self.key[keys[order] & self.low], self.level[keys[order] & self.low] = keys[order], levels[order]
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = asked & self.low
+        return np.where(self.key[at] == asked, self.level[at], 0)
 
 
 class _Sets:
-    """The sets of a batch: distinct run hashes of each row in the common order: rare ones first, common ones last."""
+    """The sets of batches: distinct run hashes of each row in the common order: rare ones first, common ones last."""
 
-    def __init__(self, texts: list[str], k: int, known: WordHashes, common: Common) -> None:
-        lists = [words(t) for t in texts]
-        n_rows = len(lists)
-        flat, starts = hashed(lists, known)
-        levels = _levels(common.words, common.word_levels, flat)
+    def __init__(self, k: int, common: Common) -> None:
+        self.k, self.common = k, common
+        self.word_level, self.run_level = _Levels(common.words, common.word_levels), _Levels(common.runs, common.run_levels)
+
+    def of(self, texts: pa.Array) -> _Sets:
+        """Take a batch; the attributes are those of its rows."""
+        flat, starts = word_hashes(texts)
+        n_rows, k = len(starts) - 1, self.k
         runs, owner = run_hashes(flat, starts, k)
         rank = np.zeros(0, np.int64)
         if (n := len(flat) - k + 1) > 0:
+            levels = self.word_level(flat)
             parts = [levels[i : i + n] for i in range(k)]
             row_of = np.repeat(np.arange(n_rows), np.diff(starts))
             rank = (np.minimum.reduce(parts) * 1024 + sum(parts))[row_of[:n] == row_of[k - 1 :]]
-        weight = _levels(common.runs, common.run_levels, runs)
-        order = np.lexsort((runs, rank + (weight << 40), owner))
+        weight = self.run_level(runs)
+        order = _order(owner, rank, weight, runs)
         runs, owner, weight = runs[order], owner[order], weight[order]
         if len(runs):
             first = np.r_[True, (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]
             runs, owner, weight = runs[first], owner[first], weight[first]
-        self.runs, self.owner, self.heavy = runs, owner, weight >= common.heavy_level
+        self.runs, self.owner, self.heavy = runs, owner, weight >= self.common.heavy_level
         self.size = np.bincount(owner, minlength=n_rows)
         begin = np.r_[0, np.cumsum(self.size)]
         self.position = np.arange(len(runs)) - begin[owner]
@@ -153,9 +148,23 @@ class _Sets:
             sums = np.r_[np.uint64(0), np.cumsum(runs, dtype=np.uint64)]
             others = np.r_[np.uint64(0), np.cumsum(mix(runs ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
             self.hi, self.lo = sums[begin[1:]] - sums[begin[:-1]], others[begin[1:]] - others[begin[:-1]]
-        for i in np.flatnonzero(self.size == 0):  # too short for a run: its words stand for the set
-            h = known[" ".join(lists[i])]
-            self.hi[i], self.lo[i] = h, ~np.uint64(h)
+            for i in np.flatnonzero(self.size == 0):  # too short for a run: its words stand for the set
+                h = np.uint64(0)
+                for w in flat[starts[i] : starts[i + 1]]:
+                    h = mix(h * np.uint64(3) + w)
+                self.hi[i], self.lo[i] = h, ~h
+        return self
+
+
+def _order(owner: np.ndarray, rank: np.ndarray, weight: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Rows' runs by weight, rank and hash; one sort of 64 bits where these suffice to tell them apart."""
+    if len(runs) and owner[-1] < 1 << 16 and rank.max() < 1 << 15 and weight.max() < 1 << 5:
+        key = owner.astype(np.uint64) << np.uint64(48) | (weight << 43 | rank << 28).astype(np.uint64) | runs >> np.uint64(36)
+        order = np.argsort(key)
+        key, sorted_runs = key[order], runs[order]
+        if not ((key[1:] == key[:-1]) & (sorted_runs[1:] != sorted_runs[:-1])).any():
+            return order
+    return np.lexsort((runs, rank + (weight << 40), owner))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -207,7 +216,7 @@ def _masks(k: int, similarity: float, common: Common, buckets: int) -> Callable[
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), {}
+        maker, seen = _Sets(k, common), {}
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -222,7 +231,7 @@ def _masks(k: int, similarity: float, common: Common, buckets: int) -> Callable[
 
         for batch in batches:
             row = batch.column(0).to_numpy()
-            sets = _Sets(batch.column(1).to_pylist(), k, known, common)
+            sets = maker.of(batch.column(1))
             if len(seen) > 500_000:
                 seen.clear()
             first = np.array([seen.setdefault(key, r) for key, r in zip(zip(sets.hi.tolist(), sets.lo.tolist()), row.tolist())], np.int64)
@@ -345,23 +354,23 @@ def _collide(similarity: float, hot: int) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def _verify(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """a, b, text_a, text_b -> a, b, Jaccard similarity of their sets of word runs."""
+    """a, b, text_a, text_b -> a, b, Jaccard similarity of their sets of word runs, by their hashes of 64 bits."""
 
-    def runs_of(text: str) -> frozenset:
-        w = words(text)
-        return frozenset(zip(*(w[i:] for i in range(k))))
+    def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (pair, run) as one hash each, and the pair."""
+        runs, pair = run_hashes(*word_hashes(texts), k)
+        with np.errstate(over="ignore"):
+            keys, first = np.unique(mix(runs ^ mix(pair.astype(np.uint64) + np.uint64(1))), return_index=True)
+        return keys, pair[first]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, sets, j = None, frozenset(), np.zeros(len(batch))
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if a != last:
-                    last, sets = a, runs_of(x)
-                other = runs_of(y)
-                both = len(sets & other)
-                either = len(sets) + len(other) - both
-                j[i] = both / either if either else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], names=["a", "b", "j"])
+            n = len(batch)
+            (x, of_x), (y, of_y) = keys_of(batch.column(2)), keys_of(batch.column(3))
+            shared = np.intersect1d(x, y, assume_unique=True, return_indices=True)[1]
+            both = np.bincount(of_x[shared], minlength=n)
+            either = np.bincount(of_x, minlength=n) + np.bincount(of_y, minlength=n) - both
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both / np.maximum(either, 1))], names=["a", "b", "j"])
 
     return verify
 
@@ -379,9 +388,9 @@ def _runs(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """row, text -> row, run, size: one row for each distinct run of a text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        maker = _Sets(k, NOTHING)
         for batch in batches:
-            sets = _Sets(batch.column(1).to_pylist(), k, known, NOTHING)
+            sets = maker.of(batch.column(1))
             row = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(row[sets.owner]), pa.array(sets.runs.view(np.int64)), pa.array(sets.size[sets.owner], pa.int64())], names=["row", "run", "size"])
 

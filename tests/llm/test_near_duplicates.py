@@ -2,10 +2,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.llm import near_duplicates
+from factloom.llm import words as near_words
 from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_members
 
 WORD = re.compile(r"[^\W_]+")
@@ -158,3 +162,18 @@ def test_entries_survive_packing():
         rows[::3], sizes[::3] = rows[0], sizes[0]
         got = near_duplicates._unpack(*near_duplicates._pack(masks, rows, sizes, positions))
         assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(masks.tolist(), rows.tolist(), sizes.tolist(), positions.tolist()))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aB1_ .,éÉß漢字İΣς𝔄٣²\n'-"), max_size=20)), max_size=6), st.integers(1, 30))
+def test_hashed_words_are_the_words(values, chars):
+    """As many words as the pattern finds in each text, equal hashes for equal words; in slices of any size."""
+    plain, near_words._CHARS = near_words._CHARS, chars
+    try:
+        flat, starts = near_words.word_hashes(pa.array(["skip", *values], pa.string()).slice(1))
+    finally:
+        near_words._CHARS = plain
+    listed = [near_words.words(v) for v in values]
+    assert np.diff(starts).tolist() == [len(x) for x in listed]
+    pairs = set(zip((w for x in listed for w in x), flat.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
