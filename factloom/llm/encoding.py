@@ -80,6 +80,100 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_NONE = np.int64(1 << 40)
+
+
+class BatchMerges:
+    """The merges of many short pieces at once, one step a piece in each round; as merge() has them."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        get = ranks.get
+        pairs = [(a << 20 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
+        key, rank = np.array(pairs, np.int64).reshape(-1, 2).T
+        self.low = np.uint64((1 << max(10, (4 * len(key)).bit_length())) - 1)
+        self.keys, self.values = np.full(int(self.low) + 1, -1, np.int64), np.full(int(self.low) + 1, _NONE)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):  # open addressing: of those that meet in an empty place one stays, the others go on
+            free = np.flatnonzero(self.keys[slot[left]] < 0)
+            _, first = np.unique(slot[left[free]], return_index=True)
+            stays = left[free[first]]
+            self.keys[slot[stays]], self.values[slot[stays]] = key[stays], rank[stays]
+            left = left[~np.isin(left, stays)]
+            slot[left] = (slot[left] + 1) & int(self.low)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(31)) & self.low).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of what each pair of parts merges to, _NONE if to nothing."""
+        key = a << 20 | b
+        slot, out, open_ = self._slot(key), np.full(len(key), _NONE), np.arange(len(key))
+        while len(open_):
+            there = self.keys[slot[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+            slot[open_] = (slot[open_] + 1) & int(self.low)
+        return out
+
+    def __call__(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = [None if (whole := self.ranks.get(p)) is None else [whole] for p in pieces]
+        short = [i for i, p in enumerate(pieces) if out[i] is None and 0 < len(p) <= _SHORT]
+        for i, p in enumerate(pieces):
+            if out[i] is None and not 0 < len(p) <= _SHORT:
+                out[i] = merge(p, self.ranks)
+        if not short:
+            return out
+        word = np.array(short)
+        length = np.array([len(pieces[i]) for i in short])
+        ids = self.byte[np.frombuffer(b"".join(pieces[i] for i in short), np.uint8)]
+        ends = np.cumsum(length)
+        rank = np.full(len(ids), _NONE)
+        inner = np.ones(len(ids), bool)
+        inner[ends - 1] = False
+        at = np.flatnonzero(inner)
+        rank[at] = self.rank(ids[at], ids[at + 1])
+        while len(word):
+            starts = ends - length
+            least = np.minimum.reduceat(rank, starts)
+            done = least == _NONE
+            if done.any():
+                for i, a, b in zip(word[done].tolist(), starts[done].tolist(), ends[done].tolist()):
+                    out[i] = ids[a:b].tolist()
+                keep = np.repeat(~done, length)
+                ids, rank, word, length, least = ids[keep], rank[keep], word[~done], length[~done], least[~done]
+                if not len(word):
+                    break
+                ends = np.cumsum(length)
+                starts = ends - length
+            found = np.flatnonzero(rank == np.repeat(least, length))
+            owner = np.searchsorted(ends, found, "right")
+            p = found[np.r_[True, owner[1:] != owner[:-1]]]  # the leftmost of equals, one for each piece
+            ids[p] = least
+            rank[p] = np.where(p + 2 < ends, self.rank(ids[p], ids[np.minimum(p + 2, len(ids) - 1)]), _NONE)
+            before = p > starts
+            rank[p[before] - 1] = self.rank(ids[p[before] - 1], ids[p[before]])
+            keep = np.ones(len(ids), bool)
+            keep[p + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            length = length - 1
+            ends = np.cumsum(length)
+        return out
+
+
+_MERGES: list[BatchMerges] = []
+
+
+def _batch_merges(ranks: dict[bytes, int]) -> BatchMerges:
+    """One table a worker process, made again only for another vocabulary."""
+    if not _MERGES or _MERGES[0].ranks is not ranks:
+        _MERGES[:] = [BatchMerges(ranks)]
+    return _MERGES[0]
+
+
 def _count(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = regex.compile(pattern).findall, Counter()
@@ -125,7 +219,8 @@ def compile_lexicon(spark: SparkSession, words: list[str], ranks: dict[bytes, in
 
 def _encode(lexicon: str, pattern: str, shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ranks, known = regex.compile(pattern).findall, shared.value, Transducer(SparkFiles.get(lexicon))
+        split, known = regex.compile(pattern).findall, Transducer(SparkFiles.get(lexicon))
+        merges = _batch_merges(shared.value)
         number: dict[str, int] = {}  # of each word met so far; its ids stand in held, from starts[number] on
         held, starts = array("i"), array("q", [0])
         for batch in batches:
@@ -135,9 +230,11 @@ def _encode(lexicon: str, pattern: str, shared: object) -> Callable[[Iterator[pa
                 held, starts = array("i"), array("q", [0])
             new = [*set(chain.from_iterable(lists)).difference(number)]
             spelled = [w.encode("utf-8", "surrogatepass") for w in new]
-            for w, b, n in zip(new, spelled, known.numbers(spelled).tolist()):
+            numbers = known.numbers(spelled).tolist()
+            unseen = iter(merges([b for b, n in zip(spelled, numbers) if n < 0]))
+            for w, n in zip(new, numbers):
                 number[w] = len(number)
-                held.extend(known.outputs(n) if n >= 0 else merge(b, ranks))
+                held.extend(known.outputs(n) if n >= 0 else next(unseen))
                 starts.append(len(held))
             pieces = np.array([len(x) for x in lists], np.int64)
             word = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(pieces.sum()))

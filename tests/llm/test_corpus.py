@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm.encoding import PATTERN, VOCABULARY, encode_corpus, merge, read_ranks
+from factloom.llm.encoding import PATTERN, VOCABULARY, BatchMerges, encode_corpus, merge, read_ranks
 from factloom.llm.leaks import leak_report, leaked_passages
 from factloom.llm.tiling import greedy_tiles
 from factloom.llm.transducer import Transducer, build
@@ -54,6 +54,14 @@ def test_merge_is_exact(ranks, public):
             assert [i for w in __import__("regex").findall(PATTERN, text) for i in merge(w.encode(), ranks)] == public.encode_ordinary(text)
 
 
+def test_batch_merges_are_the_merges(ranks):
+    r = random.Random(6)
+    pieces = ["".join(r.choice(alphabet) for _ in range(r.choice([1, 2, 3, 5, 9, 20, 47, 48, 49, 80]))).encode() for alphabet in ("ab", "theing ", "aéß漢🙂x", "aaab") for _ in range(200)]
+    pieces += [b"", b"\xff\xfe", b" the", *pieces[:5]]
+    batch = BatchMerges(ranks)
+    assert batch(pieces) == [merge(p, ranks) for p in pieces] and batch([]) == []
+
+
 def test_corpus(spark, public):
     texts = [None, "", " ", "Hello  world\n\n x", "<|endoftext|> it's", "Kebofas Trıst 漢字🙂 y", "word " * 40_000, "z" * 50_000, "Hello  world\n\n x"]
     df = spark.createDataFrame([(i % 8, t, i) for i, t in enumerate(texts)], "k int, t string, ids int").withColumn("text", F.lit(1)).repartition(3)
