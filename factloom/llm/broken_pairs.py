@@ -67,11 +67,12 @@ _TURN = re.compile(r"\b(?:but|however|though|aber|jedoch|mais|cependant|pero|sin
 COPIED = 0.15
 _FUNCTION = frozenset().union(*_LISTS.values())
 _BREAK = re.compile(r"\s*[^\w\s]")  # what parts a lead-in from the question
+_APART = re.compile(r"[\W_]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _letters(text: str) -> str:
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _APART.sub("", text.casefold())
 
 
 def is_empty(answer: str | None) -> bool:
@@ -92,8 +93,12 @@ def copies_question(question: str, answer: str) -> bool:
     asking = re.search(r"[^\W_]+", question)
     if not q or len(a) < (1 - COPIED) * len(q) or _letters(asking[0]) not in a:
         return False
-    slack = int(COPIED * len(q))
-    tiles = sorted(greedy_tiles(q, a, min(4, len(q))))
+    slack, least = int(COPIED * len(q)), min(4, len(q))
+    there = {a[i : i + least] for i in range(len(a) - least + 1)}
+    starts = [i for i in range(len(q) - least + 1) if q[i : i + least] in there]
+    if sum(min(y - x, least) for x, y in zip(starts, [*starts[1:], len(q)])) < len(q) - slack:
+        return False  # no tiles can cover more than these runs do
+    tiles = sorted(greedy_tiles(q, a, least))
     if sum(t[2] for t in tiles) < len(q) - slack or tiles[0][0] > 0 or tiles[0][2] < min(len(_letters(asking[0])), len(q)):
         return False
     if any(y[1] < x[1] for x, y in zip(tiles, tiles[1:])):

@@ -6,7 +6,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from functools import cache
+from functools import cache, lru_cache
+
+import numpy as np
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -33,6 +35,7 @@ def evidence(text: str) -> dict[str, set[str]]:
     return hits
 
 
+@lru_cache(256)
 def languages(text: str) -> list[str]:
     """The languages that explain most function words; several if they explain as many, none without evidence."""
     hits = evidence(text)
@@ -110,8 +113,8 @@ def _trigrams(words: list[str]) -> list[str]:
 
 
 @cache
-def _profiles() -> dict[str, tuple[float, ...]]:
-    """Log-likelihood of each known trigram in each language, all profiles scaled to one size; '' is for unknown ones."""
+def _profiles() -> tuple[dict[str, int], np.ndarray]:
+    """Row of each known trigram, and its log-likelihood in each language, all profiles scaled to one size; row 0 is for unknown ones."""
     counts = []
     for k in LANGUAGES:
         c = Counter(_trigrams(_WORD.findall(SAMPLES[k])))
@@ -121,7 +124,8 @@ def _profiles() -> dict[str, tuple[float, ...]]:
         counts.append({t: n * scale for t, n in c.items()})
     rest = 0.2
     total = math.log(1000 + rest * 5000)
-    return {t: tuple(math.log(c.get(t, 0) + rest) - total for c in counts) for t in {"", *(t for c in counts for t in c)}}
+    known = ["", *sorted({t for c in counts for t in c})]
+    return {t: i for i, t in enumerate(known)}, np.array([[math.log(c.get(t, 0) + rest) - total for c in counts] for t in known])
 
 
 def likelihoods(text: str) -> tuple[dict[str, float], int]:
@@ -129,9 +133,9 @@ def likelihoods(text: str) -> tuple[dict[str, float], int]:
     small = [w for w in _WORD.findall(text) if w.islower()]
     if len(small) < LEAST_WORDS:
         return {}, 0
-    known = _profiles()
-    rows = [known.get(t, known[""]) for t in _trigrams(small)]
-    return dict(zip(LANGUAGES, (sum(x) / len(rows) for x in zip(*rows)))), len(rows)
+    row_of, table = _profiles()
+    rows = [row_of.get(t, 0) for t in _trigrams(small)]
+    return dict(zip(LANGUAGES, table[rows].mean(0).tolist())), len(rows)
 
 
 def other_profile(question: str, answer: str) -> bool:
