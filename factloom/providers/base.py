@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import STOP_WORDS
 from factloom.session import cut
 
-REPLY = "request_key string, text string, prompt_tokens long, completion_tokens long, latency_s double, failed boolean"
+REPLY = "request_key binary, text string, prompt_tokens long, completion_tokens long, latency_s double, failed boolean"
 
 
 @dataclass(frozen=True)
@@ -237,7 +237,7 @@ def ask(requests: DataFrame, provider: Provider, pool: int = 1, keep: Callable[[
     whole = requests.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
     parts = [*texts, *([F.hex("context_key")] if contexts is not None else [])]
     columns = [*texts, *(["context_key"] if contexts is not None else [])]
-    keyed = whole.withColumn("request_key", F.sha2(F.concat_ws("\u0001", F.lit(provider.name), *parts), 256))
+    keyed = whole.withColumn("request_key", F.unhex(F.md5(F.concat_ws("\u0001", F.lit(provider.name), *parts))))
     distinct = keyed.select("request_key", *columns).dropDuplicates(["request_key"])
     if contexts is not None:
         passages = contexts.select("context_key", F.coalesce("context", F.lit("")).alias("context")).dropDuplicates(["context_key"])
