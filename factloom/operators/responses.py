@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import evidence, snippet
+from factloom.functions.text import evidence
 from factloom.operators.scoring import flagged
 
 
@@ -53,9 +53,9 @@ def nested_log(factoids: DataFrame, keys: list[str], index: str, columns: list[s
     return factoids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, *columns))).alias("factoids"))
 
 
-def response_log(df: DataFrame, snippet_chars: int = 80) -> DataFrame:
-    """Rounded scores and latency, the context's snippet; everything else as it is."""
-    return df.withColumns({"context_snippet": snippet(F.col("evidence"), snippet_chars), "stage1_final_score": F.round("stage1_final_score", 4), "cascade_final_score": F.round("cascade_final_score", 4), "latency_s": F.round("latency_s", 2)})
+def rounded_log(df: DataFrame) -> DataFrame:
+    """Scores and latency as the logs have them; everything else as it is."""
+    return df.withColumns({"stage1_final_score": F.round("stage1_final_score", 4), "cascade_final_score": F.round("cascade_final_score", 4), "latency_s": F.round("latency_s", 2)})
 
 
 def probe_pairs(texts: Column, outputs: Column) -> Column:

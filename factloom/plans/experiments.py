@@ -11,7 +11,7 @@ from factloom.functions.parsing import batch_verdict, decisions_text
 from factloom.functions.text import snippet
 from factloom.operators import batch_policies, evaluation, reports
 from factloom.operators.escalation import escalation, merge_stages
-from factloom.operators.responses import joined_reasons, response_flags, response_log, tokens_legacy, unpivot_answers, with_evidence
+from factloom.operators.responses import joined_reasons, response_flags, rounded_log, tokens_legacy, unpivot_answers, with_evidence
 from factloom.operators.scoring import factoid_scores, flagged, list_score, response_scores
 from factloom.operators.state import cacheable, cached_or_base, exists, remaining, replace_table
 from factloom.providers.base import Provider, context_key
@@ -58,27 +58,33 @@ def _calls(phases: dict[str, DataFrame], keys: list[str]) -> DataFrame:
 
 
 class _Probes:
-    """Responses, their claims and the probes of these, with what decompose and mutate cost; passages by their key."""
+    """Responses, their claims and the probes of these, with what decompose and mutate cost; passages by their key.
 
-    def __init__(self, samples: DataFrame, generator: Provider, key: str, prefer_knowledge: bool, n: int) -> None:
+    Responses are a projection of the samples and carry a snippet of their evidence, not the text; samples are read
+    again where they are needed, so what they come from should give the same rows each time.
+    """
+
+    def __init__(self, samples: DataFrame, generator: Provider, key: str, prefer_knowledge: bool, n: int, snippet_chars: int) -> None:
         keys, fact = ["sample", "answer_type"], ["sample", "answer_type", "fact_idx"]
-        self.responses = cut(_responses(samples, key, prefer_knowledge))
-        self.passages = passages(self.responses, "evidence")
+        whole = _responses(samples, key, prefer_knowledge)
+        self.responses = whole.withColumn("context_snippet", snippet(F.col("evidence"), snippet_chars)).drop("evidence")
+        self.passages = passages(whole.where("not gold_label"), "evidence")  # one of a sample's two responses
         made = cut(decompose_calls(self.responses, generator, keys))
         self.facts = made.select(*keys, F.posexplode("facts").alias("fact_idx", "factoid"))
         mutated = cut(mutate_calls(self.facts, generator, fact, n))
-        keyed = self.responses.select(*keys, context_key(F.col("evidence")))
+        keyed = whole.select(*keys, context_key(F.col("evidence")))
         self.probes = mutated.select(*fact, "kind", F.posexplode("probes").alias("ord", "probe")).join(keyed, keys)
         self.phases = {"decompose": made, "mutation": mutated}
 
     def verified(self, probes: DataFrame, provider: Provider) -> DataFrame:
-        return cut(verify(probes, provider, ["sample", "answer_type", "fact_idx", "kind", "ord"], "context_key", contexts=self.passages))
+        said = verify(probes, provider, ["sample", "answer_type", "fact_idx", "kind", "ord"], "context_key", contexts=self.passages)
+        return cut(said.drop("probe", "failed"))
 
 
 def _single(samples: DataFrame, generator: Provider, verifier: Provider, key: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Scored responses with question, evidence and answer, and the calls behind them."""
     keys, fact = ["sample", "answer_type"], ["sample", "answer_type", "fact_idx"]
-    p = _Probes(samples, generator, key, False, settings.mutations)
+    p = _Probes(samples, generator, key, False, settings.mutations, 50)
     verdicts = p.verified(p.probes, verifier)
     scores = factoid_scores(p.facts, verdicts, fact, unknown=0.0)
     out = response_scores(p.responses, scores, keys, ["score"]).withColumnRenamed("max_score", "final_score")
@@ -111,7 +117,7 @@ def single_log(samples: DataFrame, generator: Provider, verifier: Provider, key:
     for x, kind, decided in (("h", "hallucinated", "h_detected"), ("r", "right", "r_false_alarm")):
         sides += [of(kind, "answer_text").alias(f"{x}_answer"), of(kind, "final_score").alias(f"{x}_score"), of(kind, "pred").alias(decided), F.round(of(kind, "latency"), 2).alias(f"{x}_latency_s")]
         sides += [F.coalesce(of(kind, c), F.lit(0)).alias(f"{x}_{n}") for c, n in (("tokens", "tokens"), ("cloud", "cloud_tokens"), ("local", "local_tokens"))]
-    return rows.groupBy(F.col("sample").alias("id")).agg(F.first("question").alias("question"), snippet(F.first("evidence"), 50).alias("context_snippet"), *sides)
+    return rows.groupBy(F.col("sample").alias("id")).agg(F.first("question").alias("question"), F.first("context_snippet").alias("context_snippet"), *sides)
 
 
 class Cascade:
@@ -124,7 +130,7 @@ class Cascade:
     def __init__(self, samples: DataFrame, generator: Provider, small: Provider, large: Provider | None, key: str = "id", settings: Settings = Settings()) -> None:
         keys, fact = ["sample", "answer_type"], ["sample", "answer_type", "fact_idx"]
         self.settings, self.names = settings, (small.name, large.name if large else "")
-        p = _Probes(samples, generator, key, True, settings.mutations)
+        p = _Probes(samples, generator, key, True, settings.mutations, 80)
         r, facts = p.responses, p.facts
         first = p.verified(p.probes, small)
         stage1 = facts.join(_lists(first, fact), fact, "left")
@@ -165,7 +171,7 @@ class Cascade:
         """One row a response, 25 columns: texts, labels, scores, flags, counts, reasons, latency and tokens by phase."""
         flags = ["stage1_pred", "cascade_pred", "stage1_correct", "cascade_correct", "response_escalated", "response_rescued", "response_hurt", "factoids_total", "factoid_escalation_count", "escalation_reasons"]
         costs = ["latency_s", "tokens_total", "tokens_cloud_total", "tokens_local_verify", "tokens_api_decompose", "tokens_api_mutation", "tokens_api_stage2_verify"]
-        return response_log(self._costed()).select(F.col("sample").alias("id"), "question", "context_snippet", "answer_type", F.col("gold_label").cast("int").alias("gold_label"), "answer_text", "stage1_final_score", "cascade_final_score", *flags, *costs)
+        return rounded_log(self._costed()).select(F.col("sample").alias("id"), "question", "context_snippet", "answer_type", F.col("gold_label").cast("int").alias("gold_label"), "answer_text", "stage1_final_score", "cascade_final_score", *flags, *costs)
 
     def factoid_log(self) -> DataFrame:
         """One row a factoid of a response, 22 columns: reasons, scores, verdict lists as JSON text, statistics."""
