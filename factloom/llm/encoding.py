@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import io
 import os
 from array import array
 from collections import Counter
@@ -201,19 +202,28 @@ def lexicon_words(texts: DataFrame, pattern: str = PATTERN, words: int = LEXICON
 def compile_lexicon(spark: SparkSession, words: list[str], ranks: dict[bytes, int]) -> str:
     """Build the transducer of words, hand it to every executor, and return its file name.
 
-    The file is made in the shared folder when that is a path of its own, and shipped with the session's files, so an
-    executor that joins late gets it too. Its size is bounded by the number of words.
+    The file is made in the shared folder, whatever its file system, and shipped with the session's files, so an executor
+    that joins late gets it too. Its size is bounded by the number of words.
     """
     entries = sorted({w.encode(): None for w in words})
     target = scratch_name(spark, "lexicon")
     name = os.path.basename(target) + ".fst"
+    made = io.BytesIO()
+    build(((w, merge(w, ranks)) for w in entries), made)
     folder = posix_path(target)
-    if folder is None:  # a folder of another file system: the driver keeps the file and serves it
-        folder = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(target))
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, name)
-    build(((w, merge(w, ranks)) for w in entries), path)
-    spark.sparkContext.addFile(path)
+    if folder is not None:
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(made.getbuffer())
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        return name
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(bytearray(made.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(f"{target}/{name}")
     return name
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from contextlib import nullcontext
+from typing import BinaryIO
 
 import numpy as np
 
@@ -21,8 +23,8 @@ class _State:
         return (self.final, *((label, to.id) for label, to in self.edges.items()))
 
 
-def build(entries: Iterable[tuple[bytes, Sequence[int]]], path: str) -> None:
-    """Write the transducer of distinct (word, ids) entries, sorted by word, to path.
+def build(entries: Iterable[tuple[bytes, Sequence[int]]], path: str | BinaryIO) -> None:
+    """Write the transducer of distinct (word, ids) entries, sorted by word, to a path or an open file.
 
     States are made word by word and merged with equal ones as soon as no later word can reach them (Daciuk's
     incremental construction). A word's number among all words is the sum of the skips on its way; its ids stand at
@@ -75,7 +77,7 @@ def build(entries: Iterable[tuple[bytes, Sequence[int]]], path: str) -> None:
     final = np.array([s.final for s in states], np.uint8)
     parts = [np.array(keys, np.int64), np.array(targets, np.int64), np.array(skips, np.int64), np.array(offsets, np.int64), np.array(ids, np.int64), final.astype(np.int64)]
     head = np.array([_MAGIC, root.id, *map(len, parts)], np.int64)
-    with open(path, "wb") as f:
+    with open(path, "wb") if isinstance(path, str) else nullcontext(path) as f:
         for part in (head, *parts):
             f.write(part.tobytes())
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from factloom.llm import encoding
 from factloom.llm.encoding import PATTERN, VOCABULARY, BatchMerges, encode_corpus, merge, read_ranks
 from factloom.llm.leaks import leak_report, leaked_passages
 from factloom.llm.tiling import greedy_tiles
@@ -71,6 +72,13 @@ def test_corpus(spark, public):
     assert encode_corpus(df.where("false"), "k", "t").count() == 0
 
 
+def test_a_lexicon_in_another_file_system(spark, public, monkeypatch):
+    """A shared folder that is no path of its own: the file goes through Hadoop's file systems."""
+    monkeypatch.setattr(encoding, "posix_path", lambda uri: None)
+    df = spark.createDataFrame([(1, "Hello world, hello")], "k int, t string")
+    assert list(encode_corpus(df, "k", "t").first().ids) == public.encode_ordinary("Hello world, hello")
+
+
 def brute(docs, items, run):
     out = set()
     for d, t in docs:
