@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.parsing import NO, NOT_SURE, YES
 
+# This label and the trigger and failure labels in the policies below, as the written results have them.
 PARADOX = "logical paradox"
 
 
@@ -111,4 +112,5 @@ def status(escalated: Column, correct: Column) -> Column:
     return F.when(escalated & ~correct, "Valid Escalation").when(escalated, "Over_escalation").when(correct, "Success Pass").otherwise("Missed Detection")
 
 
+# The four outcomes, as the written results have them.
 STATUSES = ("Valid Escalation", "Over_escalation", "Success Pass", "Missed Detection")

@@ -12,6 +12,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -67,8 +68,9 @@ class LexicalProvider:
     def open(self) -> Callable[[Request], Reply]:
         stop = frozenset(STOP_WORDS)
 
-        def core(text: str) -> set[str]:
-            return set(re.findall(r"[^\W_]{2,}", text.lower())) - stop
+        @lru_cache(256)  # requests on one passage come in a row
+        def core(text: str) -> frozenset[str]:
+            return frozenset(re.findall(r"[^\W_]{2,}", text.lower())) - stop
 
         def answer(r: Request) -> str:
             if r.phase == "decompose":
